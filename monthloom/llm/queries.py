@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import lookalike
+from . import lookalike, termfreq
+
+
+TEXT_FIELDS = ["narrative", "synopsis", "combined"]
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return termfreq.term_frequencies(table(spark, sf, "asrs_reports"), "acn", TEXT_FIELDS).filter("freq_mark is not null").select("field_name", "term", "freq_mark")
+
+
+def p2_term_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Every term of the three fields with its counts."""
+    return termfreq.term_frequencies(table(spark, sf, "asrs_reports"), "acn", TEXT_FIELDS).select("field_name", "term", "n_occurrences", "n_records")
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,5 +30,21 @@ def p10_look_classes(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.look_classes(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p10_found, p10_look_classes)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_term_frequencies, p10_found, p10_look_classes)}
+
+_TERMS_SQL = """
+WITH one AS (SELECT * FROM asrs_reports QUALIFY row_number() OVER (PARTITION BY acn ORDER BY received_ts DESC) = 1),
+f AS (
+  SELECT 'narrative' AS field_name, acn, narrative AS t FROM one WHERE narrative IS NOT NULL
+  UNION ALL SELECT 'synopsis', acn, synopsis FROM one WHERE synopsis IS NOT NULL
+  UNION ALL SELECT 'combined', acn, combined FROM one WHERE combined IS NOT NULL),
+n AS (SELECT field_name, count(*) AS n_all FROM f GROUP BY 1),
+w AS (
+  SELECT field_name, acn, unnest(list_filter(string_split_regex(regexp_replace(lower(t), '[[:punct:]]', ' ', 'g'), '[\\s\\x{a0}\\x{2007}\\x{2009}\\x{202f}\\x{3000}\\x0b]+'), lambda x: x <> '')) AS term FROM f),
+c AS (SELECT field_name, term, count(*) AS n_occurrences, count(DISTINCT acn) AS n_records FROM w GROUP BY 1, 2)
+"""
+
+ORACLE: dict[str, str] = {
+    "p2_found": _TERMS_SQL + "SELECT c.field_name, term, CASE WHEN n_records < 3 THEN 'rare' ELSE 'common' END AS freq_mark FROM c JOIN n ON c.field_name = n.field_name WHERE n_records < 3 OR n_records > 0.4 * n_all",
+    "p2_term_frequencies": _TERMS_SQL + "SELECT field_name, term, CAST(n_occurrences AS BIGINT) AS n_occurrences, CAST(n_records AS BIGINT) AS n_records FROM c",
+}
