@@ -5,8 +5,83 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small
 from ..sources.tables import table
-from . import lookalike, termfreq
+from ..operators.timestamps import latest, normalised, with_zone
+from . import canonical, linkage, lookalike, termfreq
+
+
+def airports(spark: SparkSession, sf: str) -> DataFrame:
+    """airport_reference as a list of entries."""
+    return table(spark, sf, "airport_reference").select(F.col("loc_id").alias("id"), F.col("airport_name").alias("name"), "city", F.col("state_code").alias("state"), F.col("full_state"), "loc_id", "icao", "latitude", "longitude")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = latest(table(spark, sf, "faa_incidents"), "incident_id", "received_ts", ["eventairport_conv", "eventcity", "eventstate"])
+    rows = rows.filter("coalesce(eventairport_conv, eventcity, eventstate) is not null")
+    listed = table(spark, sf, "airport_reference").select(F.col("airport_name").alias("eventairport_conv"), F.col("city").alias("eventcity"), F.col("state_code").alias("eventstate"))
+    rows = rows.join(small(listed, canonical.MOST_ENTRIES), ["eventairport_conv", "eventcity", "eventstate"], "left_anti")
+    got = canonical.map_to_entries(rows, "eventairport_conv", "eventcity", "eventstate", airports(spark, sf), ["loc_id", "icao"], keep=["incident_id"])
+    return got.select("incident_id", F.coalesce("entry_id", F.lit("NONE")).alias("loc_id"))
+
+
+def p1_unmatched_values(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each typed airport came out as unlisted."""
+    rows = table(spark, sf, "faa_incidents").select("incident_id", "eventairport_conv", "eventcity", "eventstate")
+    got = canonical.map_to_entries(rows, "eventairport_conv", "eventcity", "eventstate", airports(spark, sf), ["loc_id", "icao"], keep=["incident_id", "eventairport_conv"])
+    return got.filter("entry_id is null").groupBy("eventairport_conv").agg(F.countDistinct("incident_id").alias("n_records"))
+
+
+# Short forms of flight phases.
+PHASES = {"clb": "climb", "tof": "takeoff", "ldg": "landing", "txi": "taxi", "std": "standing", "crz": "cruise", "enroute": "cruise", "dst": "descent", "apr": "approach"}
+
+
+def _attributes(rows: DataFrame) -> DataFrame:
+    """What both registers say in the same way: tail, make, model, phase; empty is null."""
+    none = lambda c: F.nullif(c, F.lit(""))
+    model = F.trim(F.regexp_replace(F.lower("acft_model"), "[^a-z0-9]+", " "))
+    phase = F.lower(F.trim("flight_phase"))
+    short = F.create_map(*[x for k, v in PHASES.items() for x in (F.lit(k), F.lit(v))])
+    return rows.withColumns({
+        "tail": none(F.regexp_replace(F.upper("tail_mark"), "[^A-Z0-9*]", "")),
+        "make": none(F.substring_index(model, " ", 1)),
+        "model": F.when(model.contains(" "), F.substring_index(model, " ", -1)),
+        "phase": none(F.coalesce(F.try_element_at(short, phase), phase)),
+    })
+
+
+def _pair_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    ref, offices = airports(spark, sf), table(spark, sf, "field_offices")
+    cols = ["acft_model", "tail_mark", "flight_phase", "persons_aboard", "office_code"]
+    a = latest(table(spark, sf, "faa_incidents"), "incident_id", "received_ts", ["localeventdate", "eventairport_conv", "eventcity", "eventstate", "tracon_code", *cols])
+    a = normalised(with_zone(a, "office_code", offices, "office_code", "tz_name"), "localeventdate", "tz_of_row").withColumnRenamed("incident_id", "id")
+    keep = ["id", "local_day", "tracon_code", *cols]
+    a = canonical.map_to_entries(a, "eventairport_conv", "eventcity", "eventstate", ref, ["loc_id", "icao"], keep=keep).withColumn("loc", F.coalesce("tracon_code", "entry_id"))
+    b = latest(table(spark, sf, "ntsb_incidents"), "ntsb_id", "received_ts", ["airport_code", "airport_name", "latitude", "longitude", "location_text", "event_date", *cols])
+    b = normalised(with_zone(b, "office_code", offices, "office_code", "tz_name"), "event_date", "tz_of_row").withColumnRenamed("ntsb_id", "id")
+    where = F.split("location_text", ",")
+    b = b.withColumns({"city": F.trim(F.try_element_at(where, F.lit(1))), "state": F.trim(F.try_element_at(where, F.lit(2)))})
+    b = canonical.map_to_entries(b, "airport_name", "city", "state", ref, ["loc_id", "icao"], keep=["id", "local_day", "airport_code", "latitude", "longitude", *cols])
+    code = F.upper(F.trim("airport_code"))
+    codes = small(ref.select("loc_id", "icao"), canonical.MOST_ENTRIES)
+    b = b.withColumn("_code", code).join(codes, (F.col("_code") == F.col("loc_id")) | (F.col("_code") == F.col("icao")), "left")
+    b = b.withColumn("loc", F.coalesce("loc_id", "entry_id")).drop("loc_id", "icao")
+    places = small(ref.select(F.col("loc_id").alias("loc"), F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon"), F.col("state").alias("state_of")), canonical.MOST_ENTRIES)
+    a, b = a.join(places, "loc", "left"), b.join(places, "loc", "left")
+    a = _attributes(a).withColumns({"lat": F.col("ref_lat"), "lon": F.col("ref_lon")})
+    b = _attributes(b).withColumns({"lat": F.coalesce(F.trim("latitude").try_cast("double"), "ref_lat"), "lon": F.coalesce(F.trim("longitude").try_cast("double"), "ref_lon")})
+    out = ["id", F.unix_date("local_day").alias("day"), "loc", F.col("state_of").alias("state"), "lat", "lon", "tail", "make", "model", "phase", F.col("persons_aboard").alias("persons"), F.col("office_code").alias("office")]
+    return a.select(*out), b.select(*out)
+
+
+def p5_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Linked records of the two registers with the confidence of each link."""
+    a, b = _pair_sides(spark, sf)
+    return linkage.linked(a, b).select(F.col("a_id").alias("incident_id"), F.col("b_id").alias("ntsb_id"), "confidence")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_links(spark, sf).select("incident_id", "ntsb_id")
 
 
 TEXT_FIELDS = ["narrative", "synopsis", "combined"]
@@ -30,7 +105,7 @@ def p10_look_classes(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.look_classes(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_term_frequencies, p10_found, p10_look_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched_values, p2_found, p2_term_frequencies, p5_found, p5_links, p10_found, p10_look_classes)}
 
 _TERMS_SQL = """
 WITH one AS (SELECT * FROM asrs_reports QUALIFY row_number() OVER (PARTITION BY acn ORDER BY received_ts DESC) = 1),
