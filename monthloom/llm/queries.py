@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import small
 from ..sources.tables import table
 from ..operators.timestamps import latest, normalised, with_zone
-from . import canonical, linkage, lookalike, termfreq
+from . import canonical, leakage, linkage, lookalike, termfreq
 
 
 def airports(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,6 +96,10 @@ def p2_term_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return termfreq.term_frequencies(table(spark, sf, "asrs_reports"), "acn", TEXT_FIELDS).select("field_name", "term", "n_occurrences", "n_records")
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text").select("item_id", "doc_id")
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.look_pairs(table(spark, sf, "documents"), "doc_id", "text").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
@@ -105,7 +109,7 @@ def p10_look_classes(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.look_classes(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched_values, p2_found, p2_term_frequencies, p5_found, p5_links, p10_found, p10_look_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched_values, p2_found, p2_term_frequencies, p5_found, p5_links, p9_found, p10_found, p10_look_classes)}
 
 _TERMS_SQL = """
 WITH one AS (SELECT * FROM asrs_reports QUALIFY row_number() OVER (PARTITION BY acn ORDER BY received_ts DESC) = 1),
