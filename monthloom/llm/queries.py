@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import small
 from ..sources.tables import table
 from ..operators.timestamps import latest, normalised, with_zone
-from . import canonical, leakage, linkage, lookalike, termfreq
+from . import canonical, leakage, linkage, lookalike, packing, termfreq
 
 
 def airports(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,6 +96,18 @@ def p2_term_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return termfreq.term_frequencies(table(spark, sf, "asrs_reports"), "acn", TEXT_FIELDS).select("field_name", "term", "n_occurrences", "n_records")
 
 
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document, in pieces where it is longer than a container, with its container of 2,048 tokens."""
+    sizes = packing.token_counts(table(spark, sf, "documents"), "doc_id", "text")
+    return packing.fill(sizes, "doc_id", "n_tokens")
+
+
+def p8_fill_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How many containers are full to which tenth."""
+    used = p8_containers(spark, sf).groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    return used.groupBy(F.floor(F.col("used") * 10 / packing.CAPACITY).alias("tenths_full")).agg(F.count(F.lit(1)).alias("n_containers"), F.sum(packing.CAPACITY - F.col("used")).alias("unused_tokens"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text").select("item_id", "doc_id")
 
@@ -109,7 +121,7 @@ def p10_look_classes(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.look_classes(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched_values, p2_found, p2_term_frequencies, p5_found, p5_links, p9_found, p10_found, p10_look_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched_values, p2_found, p2_term_frequencies, p5_found, p5_links, p8_containers, p8_fill_report, p9_found, p10_found, p10_look_classes)}
 
 _TERMS_SQL = """
 WITH one AS (SELECT * FROM asrs_reports QUALIFY row_number() OVER (PARTITION BY acn ORDER BY received_ts DESC) = 1),
