@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import panels, problems, wide
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+    return panels.QUERIES | wide.QUERIES | problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems.ORACLE)
+    return panels.ORACLE | wide.ORACLE | problems.ORACLE
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
-    return problems.p4_found(spark, sf)
+    return wide.final_wide(spark, sf)
