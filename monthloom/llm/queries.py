@@ -62,10 +62,9 @@ def _pair_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     where = F.split("location_text", ",")
     b = b.withColumns({"city": F.trim(F.try_element_at(where, F.lit(1))), "state": F.trim(F.try_element_at(where, F.lit(2)))})
     b = canonical.map_to_entries(b, "airport_name", "city", "state", ref, ["loc_id", "icao"], keep=["id", "local_day", "airport_code", "latitude", "longitude", *cols])
-    code = F.upper(F.trim("airport_code"))
-    codes = small(ref.select("loc_id", "icao"), canonical.MOST_ENTRIES)
-    b = b.withColumn("_code", code).join(codes, (F.col("_code") == F.col("loc_id")) | (F.col("_code") == F.col("icao")), "left")
-    b = b.withColumn("loc", F.coalesce("loc_id", "entry_id")).drop("loc_id", "icao")
+    codes = ref.select("loc_id", F.explode(F.array("loc_id", "icao")).alias("_code")).groupBy("_code").agg(F.min("loc_id").alias("loc_id"))
+    b = b.withColumn("_code", F.upper(F.trim("airport_code"))).join(small(codes, canonical.MOST_ENTRIES), "_code", "left")
+    b = b.withColumn("loc", F.coalesce("loc_id", "entry_id")).drop("loc_id")
     places = small(ref.select(F.col("loc_id").alias("loc"), F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon"), F.col("state").alias("state_of")), canonical.MOST_ENTRIES)
     a, b = a.join(places, "loc", "left"), b.join(places, "loc", "left")
     a = _attributes(a).withColumns({"lat": F.col("ref_lat"), "lon": F.col("ref_lon")})
