@@ -41,28 +41,40 @@ BEGINNINGS = {"mt": "mount", "ft": "fort", "st": "saint", "pt": "port", "n": "no
 NO_VALUE = {"", "na", "none", "null", "nan", "unknown", "unk", "notreported", "notavailable", "tbd", "nil", "notgiven"}
 
 
+class FromForm:
+    """Levenshtein's distances from one form, bit-parallel; what depends on the form alone is computed once."""
+
+    __slots__ = ("form", "masks", "full", "top")
+
+    def __init__(self, form: str) -> None:
+        self.form, self.masks = form, {}
+        for i, c in enumerate(form):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
+        self.full, self.top = (1 << len(form)) - 1, 1 << len(form) >> 1
+
+    def to(self, other: str) -> int:
+        if other == self.form:
+            return 0
+        if not other or not self.form:
+            return len(other) or len(self.form)
+        get, full, top = self.masks.get, self.full, self.top
+        up, down, score = full, 0, len(self.form)
+        for c in other:
+            m = get(c, 0)
+            d = (((m & up) + up) ^ up) | m | down
+            h, g = down | (~(d | up) & full), up & d
+            if h & top:
+                score += 1
+            elif g & top:
+                score -= 1
+            h, g = (h << 1 | 1) & full, (g << 1) & full
+            up, down = (g | (~(d | h) & full)), h & d
+        return score
+
+
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein's distance, bit-parallel."""
-    if a == b:
-        return 0
-    if not a or not b:
-        return len(a) or len(b)
-    masks: dict[str, int] = defaultdict(int)
-    for i, c in enumerate(a):
-        masks[c] |= 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for c in b:
-        m = masks.get(c, 0)
-        d = (((m & up) + up) ^ up) | m | down
-        h, g = down | (~(d | up) & full), up & d
-        if h & top:
-            score += 1
-        elif g & top:
-            score -= 1
-        h, g = (h << 1 | 1) & full, (g << 1) & full
-        up, down = (g | (~(d | h) & full)), h & d
-    return score
+    """Levenshtein's distance."""
+    return FromForm(a).to(b)
 
 
 class BKTree:
@@ -89,9 +101,10 @@ class BKTree:
     def within(self, form: str, most: int) -> list[tuple[int, str, list[int]]]:
         """Every (distance, form, payloads) at most so far."""
         out, todo = [], [self.root] if self.root else []
+        distance = FromForm(form).to
         while todo:
             node = todo.pop()
-            d = edit_distance(form, node[0])
+            d = distance(node[0])
             if d <= most:
                 out.append((d, node[0], node[1]))
             todo += [child for k, child in node[2].items() if d - most <= k <= d + most]
@@ -136,6 +149,8 @@ def _abbreviations() -> tuple[dict[str, str], dict[str, str]]:
 
 _KIND, _KIND_BARE = _abbreviations()
 _LONG_KINDS = [w for w in _KIND if len(w) >= 7 or w in ("county", "field")]
+_WHOLE_KINDS = [*KINDS, "airport", "air"]
+KIND_OF = {k: k for k in KINDS} | {"airport": None, "air": "airpark"}
 _SUFFIXES = sorted((w for w in _KIND if len(w) >= 2), key=len, reverse=True)
 
 
@@ -147,7 +162,7 @@ def _kind(word: str, bare: bool, loose: bool = True) -> str | None:
         return _KIND_BARE[word]
     if loose and len(word) >= 5:
         for w in _LONG_KINDS:
-            if abs(len(w) - len(word)) <= 2 and edit_distance(word, w) <= (1 if len(w) < 7 else 2):
+            if abs(len(w) - len(word)) <= 3 and edit_distance(word, w) <= (1 if len(w) < 7 else 2 if len(w) < 9 else 3):
                 return _KIND[w]
     return None
 
@@ -161,17 +176,23 @@ class Name:
         self.core, self.kind, self.rest, self.said, self.bare = core, kind, rest, said, bare
 
 
+@lru_cache(REMEMBERED)
 def read_name(text: str | None) -> list[Name]:
     """The readings of a typed name, the plainest first; none for no value."""
     if text is None or "".join(_words(text)) in NO_VALUE:
         return []
     head, _, tail = text.partition(",")
     words, rest = _words(head), _words(tail)
+    if rest and len(words) == 1 and words[0] in BEGINNINGS:
+        words, rest = words + rest, []
     if rest and ((only := _readings(rest, [])[0]).said and not only.core or any(_kind(w, False, False) for w in rest[:2])):
         words, rest = words + rest, []  # the mark stood before the kind
     while words and (words[0] in LEADING or words[0] in ("rwy", "runway")) and len(words) > 1:
         words = words[2:] if words[0] in ("rwy", "runway") and len(words) > 2 and words[1][:2].isdigit() else words[1:]
     out = _readings(words, rest)
+    if len(words) > 1 and words[-1] not in _KIND and any(k.startswith(words[-1]) for k in _WHOLE_KINDS):  # cut off within the kind
+        cut = {KIND_OF[k] for k in _WHOLE_KINDS if k.startswith(words[-1])}
+        out += [Name(r.core, next(iter(cut)) if len(cut) == 1 else None, rest, True, r.bare) for r in _readings(words[:-1], rest)[:1]]
     if len(words) > 2:  # the first word typed last, or the last first
         out += [r for turned in ([words[-1], *words[:-1]], [*words[1:], words[0]]) for r in _readings(turned, rest) if r.core]
     return out if any(r.core for r in out) else []
@@ -180,7 +201,7 @@ def read_name(text: str | None) -> list[Name]:
 def _readings(words: list[str], rest: list[str]) -> list[Name]:
     bare = not re.search(r"[aeiou]", "".join(words)) and len("".join(words)) >= 3
     words = [BEGINNINGS.get(w, w) if i == 0 and len(words) > 1 else w for i, w in enumerate(words)]
-    core, kind, said, after = [], None, False, False
+    core, kind, said = [], None, False
     i = 0
     while i < len(words):
         w = words[i]
@@ -188,8 +209,8 @@ def _readings(words: list[str], rest: list[str]) -> list[Name]:
         if two in ("airpark", "airpk", "airprk", "aripark", "arpark") or (bare and two in ("rprk", "rpk")) or (w in ("air", "ar", "ir") and two and edit_distance(two, "airpark") <= 2):
             kind, said, i = "airpark", True, i + 2
             continue
-        k = _kind(w, bare)
-        if k is not None and not (after and core):
+        k = None if bare and i == 0 and len(words) > 2 and w not in _KIND else _kind(w, bare)  # "prt" may be port
+        if k is not None:
             said = True
             kind = k or kind
             if k == "" and core and i + 1 < len(words) and _kind(words[i + 1], bare) is None:
@@ -273,7 +294,8 @@ class Gazetteer:
         found: dict[str, int] = {}
         if core in self.by_core:
             return [(0, core)]
-        for d, form, _ in self.names.within(core, reach(len(core)) + 1):
+        near = self.names.within(core, 2) if len(core) >= 8 else []
+        for d, form, _ in near or self.names.within(core, reach(len(core)) + 1):  # what is farther than an entry within 2 isn't meant
             found[form] = d
         if len(core) >= 4:
             for form in self.prefixes.get(core[:4], ()):
@@ -290,7 +312,8 @@ class Gazetteer:
     def _near_city(self, city: str) -> list[tuple[int, str]]:
         if city in self.by_city:
             return [(0, city)]
-        found = {form: d for d, form, _ in self.cities.within(city, reach(len(city)))}
+        near = self.cities.within(city, 2) if len(city) >= 8 else []
+        found = {form: d for d, form, _ in near or self.cities.within(city, reach(len(city)))}
         if len(city) >= 4:
             for form in self.city_prefixes.get(city[:4], ()):
                 if form.startswith(city) and form not in found:
@@ -302,8 +325,8 @@ class Gazetteer:
         st = self.states.get("".join(_words(state))) if state else None
         readings = read_name(name)
         place, inner = self.place_and_state(city)
-        swapped = read_name(city)
-        if swapped and any(r.said and r.kind and self._near_name(r.core, r.bare) for r in swapped) and not any(r.said for r in readings[:1]):
+        swapped = [] if any(r.said for r in readings[:1]) else read_name(city)
+        if any(r.said and r.kind and self._near_name(r.core, r.bare) for r in swapped):
             readings, (place, inner) = swapped, self.place_and_state(name)
         st = st or inner
         if readings and readings[0].rest:
@@ -322,15 +345,17 @@ class Gazetteer:
                             continue
                         near = self.city[i] in cities
                         same = bool(st) and self.state[i] == st
-                        if d > reach(len(form)) - 1 + near + (near or same) and d > 0:
+                        # a name off by more needs its place to agree; against a place that disagrees it must be nearly right
+                        clash = bool(place) and not near and not (same and len(form) >= 8)
+                        if d > (reach(len(form)) + 1 if near else 2 if same and len(form) >= 8 else 1 if clash or len(form) < 8 else 2):
                             continue
                         p = d + (0 if r.kind else 0.2) - (1.5 - 0.3 * cities[self.city[i]] if near else 0) - (1.0 if same else 0)
                         out[i] = min(out.get(i, 99), p)
-        elif place:
+        elif place and not (name and "".join(_words(name)) not in NO_VALUE):  # a name that isn't readable still names another place
             for form, d in cities.items():
-                if d > max(1, reach(len(form)) - 1) and not st:
-                    continue
                 for i in self.by_city[form]:
+                    if d > (2 if st and self.state[i] == st and len(form) >= 6 else 1):
+                        continue
                     out[i] = 10 + d - (1.0 if st and self.state[i] == st else 0)
         return sorted((p, i) for i, p in out.items())
 

@@ -29,7 +29,7 @@ WINDOW, ITEM_STEP, DOC_STEP = 20, 1, 2
 #: Any stretch of up to 39 words with a tenth changed has at most three changed words; so a passage inside one knows all but three of its words.
 KNOWN = WINDOW - 3
 #: Rank of the latent space, more columns than that for the sketch, least cosine of a candidate.
-RANK, EXTRA, COSINE = 96, 16, 0.45
+RANK, EXTRA, COSINE = 96, 16, 0.7
 #: Words of held-out items that one model may hold; more items than fit are searched block by block.
 MOST_ITEMS = 2_000
 
@@ -177,15 +177,22 @@ def leaks(doc: np.ndarray, item: np.ndarray) -> bool:
     n, m = len(doc), len(item)
     if n < LEAST_WORDS or m < LEAST_WORDS:
         return False
-    same = (doc[:, None] == item[None, :]) & (doc >= 0)[:, None]
-    for off in range(-(m - LEAST_WORDS), n - LEAST_WORDS + 1):
-        d = np.diagonal(same, -off)
-        if d.sum() < SHARE * LEAST_WORDS:
-            continue
-        c = np.concatenate([[0], np.cumsum(d)])
-        for length in range(LEAST_WORDS, min(2 * LEAST_WORDS, len(c))):
-            if (10 * (c[length:] - c[:-length]) >= round(10 * SHARE) * length).any():
-                return True
+    # row o holds, for the doc's place o - m + LEAST_WORDS against the item's first word, which words agree
+    off = np.arange(-(m - LEAST_WORDS), n - LEAST_WORDS + 1)
+    at = off[:, None] + np.arange(m)[None, :]
+    inside = (at >= 0) & (at < n)
+    there = doc[np.clip(at, 0, n - 1)]
+    c = np.zeros((len(off), m + 1), np.int16)
+    np.cumsum((there == item) & inside & (there >= 0), axis=1, out=c[:, 1:])
+    # a stretch of up to 39 words with its share has LEAST_WORDS words in a row that lack three at most
+    hopeful = ((c[:, LEAST_WORDS:] - c[:, :-LEAST_WORDS]) >= LEAST_WORDS - 3).any(axis=1)
+    if not hopeful.any():
+        return False
+    c, inside = c[hopeful], np.cumsum(np.pad(inside[hopeful], ((0, 0), (1, 0))), axis=1)
+    for length in range(LEAST_WORDS, min(2 * LEAST_WORDS, m + 1)):
+        whole = (inside[:, length:] - inside[:, :-length]) == length
+        if (whole & (10 * (c[:, length:] - c[:, :-length]).astype(np.int32) >= round(10 * SHARE) * length)).any():
+            return True
     return False
 
 
