@@ -73,12 +73,15 @@ def _sets(field: np.ndarray, term: np.ndarray, rec: np.ndarray, n: np.ndarray, w
         else:
             sets = pa.array([packed_set(lo[at[i] : at[i + 1]]) for i in range(s, e)], pa.binary())
         counts = pa.Array.from_buffers(pa.binary(), e - s, [None, pa.py_buffer((at[s : e + 1] - a).astype(np.int32).tobytes()), pa.py_buffer(small[a:b].tobytes())])
-        # what a counter of one byte can't hold goes beside it
-        over = np.bincount(owner[a:b] - s, weights=np.maximum(n[a:b] - 255, 0), minlength=e - s).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(field[begin[s:e]])), words.take(pa.array(term[begin[s:e]])), pa.array(hi[begin[s:e]]), sets, counts, pa.array(over)], names=["field_name", "term", "block", "places", "counts", "over"])
+        # counters that a byte can't hold stand beside it, with their places
+        over: list[bytes | None] = [None] * (e - s)
+        for i in np.unique(owner[a:b][n[a:b] >= 255]).tolist():
+            lo_i, n_i = lo[at[i] : at[i + 1]], n[at[i] : at[i + 1]]
+            over[i - s] = np.stack([lo_i[n_i >= 255].astype("<u4"), n_i[n_i >= 255].astype("<u4")], 1).tobytes()
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(field[begin[s:e]])), words.take(pa.array(term[begin[s:e]])), pa.array(hi[begin[s:e]]), sets, counts, pa.array(over, pa.binary())], names=["field_name", "term", "block", "places", "counts", "over"])
 
 
-_SETS = "field_name string, term string, block long, places binary, counts binary, over long"
+_SETS = "field_name string, term string, block long, places binary, counts binary, over binary"
 
 
 def term_sets(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -154,6 +157,13 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, per = np.concatenate(sets), np.array([len(x) for x in sets])
         co = np.frombuffer(counts.buffers()[1], np.int32)[counts.offset : counts.offset + end + 1]
         n = np.frombuffer(counts.buffers()[2], np.uint8)[co[0] : co[-1]].astype(np.int64)
+        starts = np.cumsum(per) - per
+        over = t.column("over").combine_chunks().slice(0, end)
+        if over.null_count < end:
+            n = n.copy()
+            for i in np.flatnonzero(np.asarray(over.is_valid())).tolist():
+                big = np.frombuffer(over[i].as_py(), "<u4").reshape(-1, 2)
+                n[starts[i] + np.searchsorted(lo[starts[i] : starts[i] + per[i]], big[:, 0])] = big[:, 1]
         owner = np.repeat(group, per)
         parts = np.bincount(group, minlength=len(begin))
         df, occ = np.bincount(owner, minlength=len(begin)), np.bincount(owner, weights=n, minlength=len(begin))
@@ -167,9 +177,7 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many = parts > 1
             df = np.where(many, np.bincount(o[last], minlength=len(begin)), df)
             occ = np.where(many, np.bincount(o[last], weights=c[last], minlength=len(begin)), occ)
-        over = np.zeros(len(begin), np.int64)
-        np.maximum.at(over, group, t.column("over").combine_chunks().slice(0, end).to_numpy())
-        yield pa.RecordBatch.from_arrays([f.take(pa.array(begin)), w.take(pa.array(begin)), pa.array(df.astype(np.int64)), pa.array(occ.astype(np.int64) + over)], names=["field_name", "term", "df", "occ"])
+        yield pa.RecordBatch.from_arrays([f.take(pa.array(begin)), w.take(pa.array(begin)), pa.array(df.astype(np.int64)), pa.array(occ.astype(np.int64))], names=["field_name", "term", "df", "occ"])
         if b is None:
             tail = None
 
@@ -178,8 +186,7 @@ def term_frequencies(df: DataFrame, key: str, fields: list[str], rare_below: int
     """(field_name, term, n_occurrences, n_records, freq_mark): every distinct term of every field.
 
     freq_mark is `rare` below rare_below records, `common` above the share common_above of the records whose field isn't null, else null;
-    rare wins where both hold. Records are told apart by an integer key: rows that repeat a key count once, in each term with their largest counter
-    (counters above 255 in rows of a repeated key are exact as long as those rows are copies). Rows without key are left out; null texts
+    rare wins where both hold. Records are told apart by an integer key: rows that repeat a key count once, in each term with their largest counter. Rows without key are left out; null texts
     hold no term and don't count as records of the field, empty texts do. A hot term is spread over blocks of 2 ** 15 identifiers.
     """
     sets = term_sets(df, key, fields)
