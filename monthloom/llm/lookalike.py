@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settled
+
 # Letters that look like a Latin letter, and the Latin letters, in the same order.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝѵӏҮ"
 CYRILLIC_LATIN = "ABESIJKMHOPCTYXaeopcyxsijhdqwvlY"
@@ -232,23 +234,33 @@ def _prints(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, class_id, n_forms): one row per text that shares its look with different characters; class_id is the smallest key of the look, n_forms how many different texts share it."""
-    p = _prints(df, key, text)
+    p = settled(_prints(df, key, text))
     forms = p.groupBy("look", "own").agg(F.min(key).alias("least"))
     classes = forms.groupBy("look").agg(F.count(F.lit(1)).alias("n_forms"), F.min("least").alias("class_id")).filter("n_forms > 1")
     return p.join(classes, "look").select(key, "class_id", "n_forms")
 
 
+#: Parts over which the rows or forms of one look are spread.
+SALTS = 16
+
+
+def _salted(left: DataFrame, right: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """left with a salt from its column by, right once per salt."""
+    return left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")), right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b), a < b: all pairs of rows that look the same but are not the same characters.
 
-    Copies of one text are no pair. Looks of one text only, however many rows have it, are dropped before anything is joined; of the rest each pair of different
-    forms is joined on its own key, so that a look held by very many rows is spread over its forms and, by the salt, over its rows.
+    Copies of one text are no pair. Rows are first counted by look and form; looks of one form, however many rows have it, are dropped before anything is joined. Of the
+    rest the forms of a look are paired, then the rows of both forms; both joins are salted, so that neither a look of many forms nor a form of many rows is one task.
     """
-    p = _prints(df, key, text)
+    p = settled(_prints(df, key, text))
     forms = p.groupBy("look", "own").agg(F.count(F.lit(1)).alias("n"))
-    shared = forms.groupBy("look").agg(F.collect_set("own").alias("owns")).filter(F.size("owns") > 1)
-    rows = p.join(shared, "look").withColumn("other", F.explode(F.array_except("owns", F.array("own"))))
-    salts = 16
-    left = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts))).select(F.col(key).alias("a"), "look", F.col("own").alias("x"), F.col("other").alias("y"), "salt")
-    right = p.join(shared.select("look"), "look", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(F.col(key).alias("b"), "look", F.col("own").alias("y"), F.col("salt").cast("long").alias("salt"))
-    return left.join(right, ["look", "y", "salt"]).filter("a < b").select("a", "b")
+    shared = forms.join(forms.groupBy("look").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "look", "left_semi").select("look", "own")
+    x, y = _salted(shared.withColumnRenamed("own", "own_a"), shared.withColumnRenamed("own", "own_b"), "own_a")
+    pairs = x.join(y, ["look", "salt"]).filter("own_a < own_b").select("own_a", "own_b")
+    rows_a = p.join(pairs, F.col("own") == F.col("own_a")).select(F.col(key).alias("key_a"), "own_b")
+    rows_a, rows_b = _salted(rows_a, p.join(pairs.select("own_b").distinct(), F.col("own") == F.col("own_b"), "left_semi").select(F.col(key).alias("key_b"), F.col("own").alias("own_b")), "key_a")
+    both = rows_a.join(rows_b, ["own_b", "salt"])
+    return both.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
