@@ -33,10 +33,13 @@ def with_dictionaries(vocabulary: DataFrame, dictionaries: DataFrame, names: lis
 
 
 def flags(vocabulary: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
-    """vocabulary with one flag per word list (a column word each)."""
+    """vocabulary with one flag per word list (a column word each); all lists are joined at once."""
+    every = None
     for name, words in lists.items():
-        vocabulary = vocabulary.join(small(words.select("word").distinct().withColumn(name, F.lit(True))), "word", "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return vocabulary
+        part = words.select("word", F.lit(name).alias("_list"))
+        every = part if every is None else every.unionByName(part)
+    per_word = every.groupBy("word").agg(*[F.max(F.col("_list") == name).alias(name) for name in lists])
+    return vocabulary.join(small(per_word), "word", "left").fillna(False, list(lists))
 
 
 def tagged(v: DataFrame) -> DataFrame:
@@ -62,8 +65,8 @@ def tagged(v: DataFrame) -> DataFrame:
 def tag_summary(t: DataFrame) -> DataFrame:
     """Per tag: occurrences, words, and their shares of all. Aggregated by tag before the totals, which so are over a few rows."""
     per = t.groupBy("tag").agg(F.sum("ct").alias("ct"), F.count(F.lit(1)).alias("n_unique"))
-    total = per.agg(F.sum("ct").alias("_ct"), F.sum("n_unique").alias("_n"))
-    return per.join(F.broadcast(total)).select("tag", "ct", "n_unique", F.round(F.col("ct") / F.col("_ct"), 6).alias("share"), F.round(F.col("n_unique") / F.col("_n"), 6).alias("share_unique"))
+    total = lambda c: per.agg(F.sum(c)).scalar()
+    return per.select("tag", "ct", "n_unique", F.round(F.col("ct") / total("ct"), 6).alias("share"), F.round(F.col("n_unique") / total("n_unique"), 6).alias("share_unique"))
 
 
 def replacements(t: DataFrame) -> DataFrame:

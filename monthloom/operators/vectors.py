@@ -42,8 +42,11 @@ def _within(s: Column, n: Column) -> Column:
 
 def similarities(sums: DataFrame, dims: int, by: list[str] = [], digits: int = 6) -> DataFrame:
     """sums (entity, by, n, s) with own, out, invall, invout: the mean cosine within the entity, among all others, between it and all, between it and the others."""
-    total = sums.groupBy(*by).agg(F.sum("n").alias("n_all"), F.array(*[F.sum(F.col("s")[i]) for i in range(dims)]).alias("s_all"))
-    d = sums.join(total, by) if by else sums.join(F.broadcast(total))
+    total = [F.sum("n").alias("n_all"), F.array(*[F.sum(F.col("s")[i]) for i in range(dims)]).alias("s_all")]
+    if by:
+        d = sums.join(sums.groupBy(*by).agg(*total), by)
+    else:
+        d = sums.select("*", *[sums.agg(t).scalar().alias(n) for t, n in zip(total, ("n_all", "s_all"))])
     d = d.withColumn("n_out", F.col("n_all") - F.col("n")).withColumn("s_out", F.zip_with("s_all", "s", lambda a, b: a - b))
     scaled = lambda x, pairs: F.when(pairs > 0, (1 + x / F.nullif(pairs, F.lit(0))) / 2)
     cols = {"own_sim": _within(F.col("s"), F.col("n")), "out_sim": _within(F.col("s_out"), F.col("n_out")), "invall_sim": scaled(dot(F.col("s"), F.col("s_all")), F.col("n") * F.col("n_all")), "invout_sim": scaled(dot(F.col("s"), F.col("s_out")), F.col("n") * F.col("n_out"))}

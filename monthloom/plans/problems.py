@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import badrows, packed, rolling, timestamps
+from ..session import settled
 from ..sources.tables import table
 
 REGISTERS = [
@@ -117,7 +118,7 @@ def _leftovers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _leftovers(spark, sf)
+    rows = settled(_leftovers(spark, sf))  # the learning rounds read it again
     parts = []
     for name, arity in (("atcadvisory", None), ("firstpass", 3)):
         out = packed.split_values(rows, "row_id", name, arity).filter("n_values >= 2")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, names, text
 from ..operators import lookup, panel, registers
 from ..operators.timestamps import latest
+from ..session import settled
 from ..sources.tables import table
 
 FIRST, LAST = 1988 * 12 + 1, 2019 * 12 + 12
@@ -52,16 +53,16 @@ def _register_days(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return a.filter(keep).select("entity", month, "day"), b.filter(keep).select("entity", month, "day", "kind")
 
 
-def register_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """(entity, month_idx, faa, incidents, accidents, overlap, total, total_nodups) of the TOP busiest entities, dense."""
+def register_panel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(entity, month_idx, faa, incidents, accidents, n_overlap, total, total_nodups) of the TOP busiest entities, dense; and those entities."""
     a, b = _register_days(spark, sf)
     keys = ["entity", "month_idx"]
     u = registers.union_totals([registers.counts(a, keys, "faa"), registers.class_counts(b, keys, "kind", {"incidents": "Incident", "accidents": "Accident"})], keys, ["faa", "incidents", "accidents"])
     u = registers.with_overlap(u, registers.overlap(a, b, [*keys, "day"], keys), keys).withColumn("total", F.col("faa") + F.col("incidents") + F.col("accidents"))
-    u = u.withColumn("total_nodups", F.col("total") - F.col("n_overlap"))
-    top = u.groupBy("entity").agg(F.sum("total").alias("_t")).orderBy(F.desc("_t"), "entity").limit(TOP).select("entity")
+    u = settled(u.withColumn("total_nodups", F.col("total") - F.col("n_overlap")))  # one row per entity and month; read for the top and for the panel
+    top = settled(u.groupBy("entity").agg(F.sum("total").alias("_t")).orderBy(F.desc("_t"), "entity").limit(TOP).select("entity"))
     measures = ["faa", "incidents", "accidents", "n_overlap", "total", "total_nodups"]
-    return panel.dense(lookup.allowed(u, "entity", top), top, FIRST, LAST, measures, 0)
+    return panel.dense(lookup.allowed(u, "entity", top), top, FIRST, LAST, measures, 0), top
 
 
 def report_panel(spark: SparkSession, sf: str, entities: DataFrame) -> DataFrame:
@@ -74,8 +75,7 @@ def report_panel(spark: SparkSession, sf: str, entities: DataFrame) -> DataFrame
 
 def final_wide(spark: SparkSession, sf: str, lag: int = 1) -> DataFrame:
     """The wide report with windows that end lag months before the row's month. Windows are null until they are complete; months without reports count 0."""
-    base = register_panel(spark, sf)
-    entities = base.select("entity").distinct()
+    base, entities = register_panel(spark, sf)
     words = panel.dense(report_panel(spark, sf, entities), entities, FIRST, LAST, WORDS, 0)
     scoped = panel.own_out_all(words, WORDS)
     measures = column_names([WORDS, ["", "out", "all"]])

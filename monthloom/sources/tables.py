@@ -22,10 +22,15 @@ def csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType,
     return df
 
 
-def second_header(df: DataFrame, line: str = "value") -> DataFrame:
-    """Text lines of files whose first header row only groups columns: that row is left out. Spark keeps line order within a file by offset."""
-    w = Window.partitionBy(F.input_file_name()).orderBy(F.monotonically_increasing_id())
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n > 1").drop("_n").select(line)
+def csv_second_header(spark: SparkSession, path: str | list[str], schema: str | T.StructType, *, sep: str = ",") -> DataFrame:
+    """Delimited text whose second row names the columns and whose first only groups them.
+
+    The first row is the header to the reader; a row that holds just the column names is the second and is left out, wherever a split of the file begins. Values are cast to the schema; what can't be cast is null.
+    """
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    rows = csv(spark, path, T.StructType([T.StructField(f.name, T.StringType()) for f in fields]), sep=sep)
+    named = F.coalesce(F.array(*[F.col(f"`{f.name}`") for f in fields]) == F.array(*[F.lit(f.name) for f in fields]), F.lit(False))
+    return rows.filter(~named).select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
 
 
 def link_words(pages: DataFrame, html: str, first: str, last: str) -> DataFrame:
@@ -72,8 +77,8 @@ def flagged_words(df: DataFrame, word: str, flag: str) -> DataFrame:
 def after_last_flag(df: DataFrame, ordinal: str, word: str, flags: list[str]) -> DataFrame:
     """The words after the last row that carries any annotation; all words if none does."""
     any_flag = F.greatest(*[F.col(c).isNotNull() for c in flags]) if len(flags) > 1 else F.col(flags[0]).isNotNull()
-    last = df.agg(F.coalesce(F.max(F.when(any_flag, F.col(ordinal))), F.lit(-1)).alias("_last"))
-    return df.join(F.broadcast(last), F.col(ordinal) > F.col("_last")).select(word)
+    last = df.agg(F.coalesce(F.max(F.when(any_flag, F.col(ordinal))), F.lit(-1)))
+    return df.filter(F.col(ordinal) > last.scalar()).select(word)
 
 
 def volume_report(lines: DataFrame, number_cols: list[str]) -> DataFrame:

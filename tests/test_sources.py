@@ -20,8 +20,8 @@ def test_legacy_encoding(spark, tmp_path):
 
 
 def test_second_header(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("g1,g1,g2\na,b,c\n1,2,3\n")
-    assert [r.value for r in tables.second_header(spark.read.text(str(tmp_path / "t.csv"))).collect()] == ["a,b,c", "1,2,3"]
+    (tmp_path / "t.csv").write_text("g1,g1,g2\na,b,c\n1,2,3\n4,x,\n")
+    assert [tuple(r) for r in tables.csv_second_header(spark, str(tmp_path / "t.csv"), "a int, b int, c string").collect()] == [(1, 2, "3"), (4, None, None)]
 
 
 def test_link_words(spark):
