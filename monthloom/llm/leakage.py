@@ -136,9 +136,10 @@ def _sketch(spans_: DataFrame, idf: np.ndarray, q: np.ndarray, own: np.ndarray)
                 part(p[::WINDOW // DOC_STEP], idf, q, total)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["word", "v"])
 
-    rows = spans_.select("words").mapInArrow(run, "word int, v array<double>").select("word", F.posexplode("v").alias("j", "x")).groupBy("word", "j").agg(F.sum("x").alias("x")).toPandas()  # words x columns, bounded by the items
+    sums = spans_.select("words").mapInArrow(run, "word int, v array<double>").groupBy("word").agg(*[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(q.shape[1])])
+    rows = sums.toPandas().set_index("word")  # words x columns, bounded by the items
     out = np.zeros(q.shape)
-    out[rows["word"].to_numpy(), rows["j"].to_numpy()] = rows["x"].to_numpy()
+    out[rows.index.to_numpy()] = rows.to_numpy()
     part(own, idf, q, out)
     return out
 

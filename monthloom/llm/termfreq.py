@@ -190,8 +190,7 @@ def term_frequencies(df: DataFrame, key: str, fields: list[str], rare_below: int
     hold no term and don't count as records of the field, empty texts do. A hot term is spread over blocks of 2 ** 15 identifiers.
     """
     sets = term_sets(df, key, fields)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = sets.repartition(n, "field_name", "term", "block").sortWithinPartitions("field_name", "term", "block").mapInArrow(_union, "field_name string, term string, df long, occ long")
+    merged = sets.repartition("field_name", "term", "block").sortWithinPartitions("field_name", "term", "block").mapInArrow(_union, "field_name string, term string, df long, occ long")
     per_term = settled(merged.groupBy("field_name", "term").agg(F.sum("df").alias("n_records"), F.sum("occ").alias("n_occurrences")))
     records = per_term.filter("term is null").select("field_name", F.col("n_records").alias("_all"))  # one row a field
     out = per_term.filter("term is not null").join(F.broadcast(records), "field_name")
