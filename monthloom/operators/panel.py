@@ -56,6 +56,20 @@ def ratios(df: DataFrame, pairs: dict[str, tuple[str, str]], digits: int = 6) ->
     return df.select("*", *[F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), digits).alias(k) for k, (a, b) in pairs.items()])
 
 
+def united(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Full outer join of any number of frames on the same keys, which come out once; a column that several frames have is taken from the first."""
+    out, have = frames[0], set(frames[0].columns)
+    for f in frames[1:]:
+        out = out.join(f.select(*keys, *[c for c in f.columns if c not in have]), keys, "full")
+        have |= set(f.columns)
+    return out
+
+
+def widened(long: DataFrame, keys: list[str], name: str, values: list[str], measure: str) -> DataFrame:
+    """One column per named value of the long form; the values are given, so that no job looks for them."""
+    return long.groupBy(*keys).pivot(name, values).agg(F.sum(measure))
+
+
 def lagged_distinct(words: DataFrame, n: int, lag: int, last: int) -> DataFrame:
     """(entity, month_idx, n_words): distinct words of the n months that end lag before. words: (entity, month_idx, word).
 

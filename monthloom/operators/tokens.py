@@ -69,6 +69,20 @@ def tag_summary(t: DataFrame) -> DataFrame:
     return per.select("tag", "ct", "n_unique", F.round(F.col("ct") / total("ct"), 6).alias("share"), F.round(F.col("n_unique") / total("n_unique"), 6).alias("share_unique"))
 
 
+def dictionary_summary(v: DataFrame, names: list[str]) -> DataFrame:
+    """(dict, ct, n_unique) of the words each dictionary's column has a full form for, and of those that any has (`any`)."""
+    conds = {n: F.col(n).isNotNull() for n in names}
+    any_of = F.coalesce(*[F.col(n) for n in names]).isNotNull()
+    one = v.agg(*[x for n, c in [*conds.items(), ("any", any_of)] for x in (F.coalesce(F.sum(F.when(c, F.col("ct"))), F.lit(0)).alias(f"{n}_ct"), F.count_if(c).alias(f"{n}_n"))])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("dict"), F.col(f"{n}_ct").alias("ct"), F.col(f"{n}_n").alias("n_unique")) for n in [*names, "any"]])).alias("r")).select("r.*")
+
+
+def dictionary_sets(t: DataFrame, names: list[str]) -> DataFrame:
+    """(dict, word): the abbreviations of each dictionary, all abbreviations (`abrvs`) and those not English (`pos_nonword`)."""
+    sets = F.array_compact(F.array(F.when(F.col("abrev") == 1, "abrvs"), F.when(F.col("tag") == "pos_nonword", "pos_nonword"), *[F.when((F.col("abrev") == 1) & F.col(n).isNotNull(), n) for n in names]))
+    return t.select(F.explode(sets).alias("dict"), "word").distinct()
+
+
 def replacements(t: DataFrame) -> DataFrame:
     """(word, fullform) of the abbreviations: the first full form of nasa, faa, casa, hand, iata, in lower case."""
     return t.filter("abrev = 1").select("word", F.lower(F.coalesce("nasa", "faa", "casa", "hand", "iata")).alias("fullform")).filter("fullform is not null")

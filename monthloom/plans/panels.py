@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, names, text
-from ..operators import advisory, lookup, panel, registers, tokens, vectors
+from ..operators import advisory, embedding, lookup, panel, registers, tokens, vectors
 from ..sources.tables import table
 from ..streaming import monthly
 
@@ -120,6 +120,20 @@ def null_coverage(spark, sf):
     return panel.coverage(panel.lagged(_panel(spark, sf, "BUILDING"), MEASURES, [3, 12], 1))
 
 
+@query(f"""WITH {_panel_sql("BUILDING")}, {", ".join(f"x{n} AS (SELECT entity, month_idx, {_window_sql(n, 1)} FROM panel)" for n in (1, 3, 6, 12))}
+SELECT * FROM x1 FULL JOIN x3 USING (entity, month_idx) FULL JOIN x6 USING (entity, month_idx) FULL JOIN x12 USING (entity, month_idx)""")
+def windows_united(spark, sf):
+    p = _panel(spark, sf, "BUILDING")
+    return panel.united([panel.lagged(p, MEASURES, [n], 1) for n in (1, 3, 6, 12)], ["entity", "month_idx"])
+
+
+@query("""SELECT c_nationkey AS entity, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END) AS BIGINT) AS "1-URGENT", CAST(sum(CASE WHEN o_orderpriority = '5-LOW' THEN 1 END) AS BIGINT) AS "5-LOW" FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def long_to_wide(spark, sf):
+    o, c = table(spark, sf, "orders").select("o_custkey", "o_orderpriority"), table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("entity"))
+    long = registers.counts(o.join(c, o.o_custkey == c.c_custkey), ["entity", "o_orderpriority"], "n")
+    return panel.widened(long, ["entity"], "o_orderpriority", ["1-URGENT", "5-LOW"], "n")
+
+
 # --- registers -----------------------------------------------------------------------------------------------------------------------
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,6 +283,28 @@ def tag_summary(spark, sf):
     return tokens.tag_summary(_vocabulary(spark, sf))
 
 
+DICTS = ["nasa", "faa", "casa", "iata", "hand", "hand2"]
+
+
+@query(f"WITH {_TAG_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS dict, CAST(coalesce(sum(ct), 0) AS BIGINT) AS ct, count(*) AS n_unique FROM f WHERE coalesce({c}) IS NOT NULL" for n, c in [*((d, f"{d}, NULL") for d in DICTS), ("any", ", ".join(DICTS))]))
+def dictionary_summary(spark, sf):
+    return tokens.dictionary_summary(_vocabulary(spark, sf), DICTS)
+
+
+@query(f"WITH {_TAG_SQL}, k AS (SELECT f.*, t.tag, t.abrev FROM f JOIN t USING (word)) SELECT 'abrvs' AS dict, word FROM k WHERE abrev = 1 UNION ALL SELECT 'pos_nonword', word FROM k WHERE tag = 'pos_nonword' " + " ".join(f"UNION ALL SELECT '{d}', word FROM k WHERE abrev = 1 AND {d} IS NOT NULL" for d in DICTS))
+def dictionary_sets(spark, sf):
+    return tokens.dictionary_sets(_vocabulary(spark, sf), DICTS)
+
+
+@query(f"""WITH {_TAG_SQL}, r AS (SELECT word, fullform FROM t WHERE abrev = 1 AND fullform IS NOT NULL), w AS (SELECT source, unnest({_SPACED_SQL.format('lower(text)')}) AS word FROM documents),
+x AS (SELECT source, unnest(string_split(coalesce(fullform, w.word), ' ')) AS word FROM w LEFT JOIN r ON r.word = w.word), c(category, word) AS (VALUES {_values(CATEGORIES)})
+SELECT source, category, count(*) AS n_words FROM x JOIN c ON c.word = x.word GROUP BY 1, 2""")
+def category_counts_expanded(spark, sf):
+    d = tokens.expanded(_docs(spark, sf), "text", tokens.replacements(_vocabulary(spark, sf)), "full")
+    counts = tokens.word_counts(d, "full", ["source"], clean=False)
+    return tokens.dictionary_counts(counts, ["source"], spark.createDataFrame(CATEGORIES, "category string, word string"), "category").select("source", "category", "n_words")
+
+
 @query(f"""WITH {_TAG_SQL}, r AS (SELECT word, fullform FROM t WHERE abrev = 1 AND fullform IS NOT NULL),
 w AS (SELECT doc_id, unnest({_SPACED_SQL.format('lower(text)')}) AS word, unnest(range(len({_SPACED_SQL.format('lower(text)')}))) AS pos FROM documents)
 SELECT d.doc_id, coalesce(x.s, '') AS expanded FROM documents d LEFT JOIN (SELECT doc_id, string_agg(coalesce(fullform, w.word), ' ' ORDER BY pos) AS s FROM w LEFT JOIN r ON r.word = w.word GROUP BY 1) x ON x.doc_id = d.doc_id WHERE d.text IS NOT NULL""")
@@ -546,6 +582,30 @@ def report_pair_cosine(spark, sf):
     return e.join(nxt, "vec_id").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
+@query("SELECT md5(text) AS text_id, count(*) AS n_rows FROM documents GROUP BY 1")
+def document_ids(spark, sf):
+    return embedding.document_ids(table(spark, sf, "documents"), "text")
+
+
+@query()
+def trained_similarity(spark, sf):
+    """Own, outside and overall similarity of sources by word vectors trained on all texts."""
+    d = _docs(spark, sf).filter("source is not null").select(F.col("source").alias("entity"), "text")
+    v = embedding.document_vectors(d, "text", embedding.trained(d, "text"))
+    return vectors.similarities(vectors.unit_sums(v, ["entity"], "vector", 20), 20)
+
+
+_CODES_SQL = "a AS (SELECT DISTINCT tracon_code AS code FROM faa_incidents WHERE tracon_code IS NOT NULL), b AS (SELECT DISTINCT facility_code AS code FROM asrs_reports WHERE facility_code IS NOT NULL)"
+
+
+@query(f"WITH {_CODES_SQL} SELECT 'union' AS what, code FROM (SELECT code FROM a UNION SELECT code FROM b) UNION ALL SELECT 'both', code FROM (SELECT code FROM a INTERSECT SELECT code FROM b) UNION ALL SELECT 'first only', code FROM (SELECT code FROM a EXCEPT SELECT code FROM b)")
+def code_sets(spark, sf):
+    a = table(spark, sf, "faa_incidents").select(F.col("tracon_code").alias("code")).filter("code is not null").distinct()
+    b = table(spark, sf, "asrs_reports").select(F.col("facility_code").alias("code")).filter("code is not null").distinct()
+    named = lambda df, what: df.select(F.lit(what).alias("what"), "code")
+    return named(a.union(b).distinct(), "union").union(named(a.intersect(b), "both")).union(named(a.subtract(b), "first only"))
+
+
 # --- events --------------------------------------------------------------------------------------------------------------------------
 
 @query("SELECT user_id AS entity, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, count(*) AS n_events FROM events GROUP BY 1, 2")

@@ -43,6 +43,17 @@ def renamed(df: DataFrame, suffix: str, skip: list[str]) -> DataFrame:
     return df.withColumnsRenamed(new)
 
 
+def shortened(df: DataFrame, short: dict[str, str]) -> DataFrame:
+    """df with parts of its column names replaced, in the order given."""
+    new = {}
+    for c in df.columns:
+        name = c
+        for long, brief in short.items():
+            name = name.replace(long, brief)
+        new[c] = name
+    return df.withColumnsRenamed(new)
+
+
 def _register_days(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     a = latest(table(spark, sf, "faa_incidents"), "incident_id", "received_ts", ["localeventdate", "tracon_code"])
     a = a.filter(F.col("localeventdate").rlike(r"^\d{2}-[A-Z]{3}-\d{2}$")).select(F.col("tracon_code").alias("entity"), *[c.alias(k) for k, c in dates.day_month_year(F.col("localeventdate")).items()])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +15,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], load_saved: bool = True) -> DataFrame:
+    """The parquet table at path if there is one and load_saved holds; else the built one, written there first."""
+    if load_saved:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            pass
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType, *, sep: str = ",", encoding: str = "UTF-8", skip: str | None = None) -> DataFrame:
     """Delimited text with a header row and a declared schema; header names are trimmed by the schema's own. skip: a glob of file names left out of a folder."""
     if encoding.lower() not in ("utf-8", "us-ascii", "iso-8859-1", "utf-16"):
