@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import importable
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
+    importable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
