@@ -104,6 +104,8 @@ class BKTree:
         distance = FromForm(form).to
         while todo:
             node = todo.pop()
+            if not node[2] and abs(len(node[0]) - len(form)) > most:  # a leaf that its length rules out
+                continue
             d = distance(node[0])
             if d <= most:
                 out.append((d, node[0], node[1]))
@@ -154,6 +156,7 @@ KIND_OF = {k: k for k in KINDS} | {"airport": None, "air": "airpark"}
 _SUFFIXES = sorted((w for w in _KIND if len(w) >= 2), key=len, reverse=True)
 
 
+@lru_cache(REMEMBERED)
 def _kind(word: str, bare: bool, loose: bool = True) -> str | None:
     """The kind a word means, "" for a word that only says airport, None for other words."""
     if word in _KIND:
