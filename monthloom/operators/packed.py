@@ -27,6 +27,8 @@ PLACES = {"value": 1 << 16, "head": 1 << 13, "inner": 1 << 13}
 MARKS = ";,&|/\n\t\r"
 #: Pieces that one value may hold where its form sets no number.
 MOST_PIECES = 4
+#: Scores that a worker remembers.
+REMEMBERED = 200_000
 #: The log probability of a whole value that was never seen.
 UNSEEN = -60.0
 _CUT = re.compile(rf"[{re.escape(MARKS)}]")
@@ -123,6 +125,12 @@ def _place(kind: str, word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % PLACES[kind]
 
 
+def _value_place(joined: str) -> int:
+    """A value's place in its table, and its print in the lower half."""
+    raw = joined.encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw) % PLACES["value"] << 32 | zlib.adler32(raw)
+
+
 @dataclass
 class Model:
     """Learnt log probabilities of one column. arity: the pieces of every value, or None."""
@@ -133,42 +141,67 @@ class Model:
     #: For each place of the value table the print of the most frequent value there; others count as never seen.
     prints: np.ndarray = field(default_factory=lambda: np.zeros(PLACES["value"], np.uint32))
 
-    def value(self, part: list[str], inner_marks: list[str]) -> tuple[float, list[tuple[str, int]]]:
-        """The log probability of a candidate value and the table places it uses."""
+    #: Scores of pieces and of joined members that were met before.
+    seen: dict = field(default_factory=dict)
+
+    def uses(self, part: list[str], inner_marks: list[str]) -> list[tuple[str, int]]:
+        """The table places that a candidate value uses."""
         words = [w for k, p in enumerate(part) for w in ([inner_marks[k - 1]] if k else []) + _WORD.findall(p)]
         if not words:
-            return -1.0, []
-        joined = "\x1f".join(part).encode("utf-8", "surrogatepass")
-        print_ = zlib.adler32(joined)
-        at = zlib.crc32(joined) % PLACES["value"]
-        uses = [("value", at << 32 | print_), ("head", _place("head", words[0]))] + [("inner", _place("inner", w)) for w in words[1:]]
-        t = self.tables
-        spelt = sum(t[k][i] for k, i in uses[1:])
-        # a stretch of several pieces gets no credit for having been seen: two values that often stand together would grow into one
-        whole = t["value"][at] if self.prints[at] == print_ and len(part) == (self.arity or 1) else UNSEEN
-        top = max(spelt, whole)
-        score = top + math.log(0.5 * math.exp(spelt - top) + 0.5 * math.exp(whole - top))
-        if self.arity and len(part) != self.arity:
-            score -= 12.0
-        return score, uses
-
-    def lattice(self, parts: list[str], marks: list[str]) -> list[list[tuple[int, float, list[tuple[str, int]]]]]:
-        """For each end j the candidates (begin, score, uses)."""
+            return []
+        return [("value", _value_place("\x1f".join(part))), ("head", _place("head", words[0]))] + [("inner", _place("inner", w)) for w in words[1:]]
+
+    def piece(self, p: str) -> tuple[float, float]:
+        """The log probability of a piece's words at the beginning of a value and inside one."""
+        got = self.seen.get(p)
+        if got is None:
+            if len(self.seen) > REMEMBERED:
+                self.seen.clear()
+            words = _WORD.findall(p)
+            inner = [self.tables["inner"][_place("inner", w)] for w in words]
+            got = (self.tables["head"][_place("head", words[0])] + sum(inner[1:]) if words else 0.0, float(sum(inner)))
+            self.seen[p] = got
+        return got
+
+    def whole(self, joined: str) -> float:
+        """The log probability of a value as such."""
+        key = ("=", joined)
+        got = self.seen.get(key)
+        if got is None:
+            place = _value_place(joined)
+            got = float(self.tables["value"][place >> 32]) if self.prints[place >> 32] == place & 0xFFFFFFFF else UNSEEN
+            self.seen[key] = got
+        return got
+
+    def lattice(self, parts: list[str], marks: list[str]) -> list[list[tuple[int, float]]]:
+        """For each end j the candidates (begin, log probability with the mark before it)."""
         most = self.arity or MOST_PIECES
-        return [[]] + [[(i, *self._scored(parts, marks, i, j)) for i in range(max(0, j - most), j)] for j in range(1, len(parts) + 1)]
-
-    def _scored(self, parts: list[str], marks: list[str], i: int, j: int) -> tuple[float, list[tuple[str, int]]]:
-        if self.arity is None and j - i > 1 and not (parts[i] and parts[j - 1]):
-            return -50.0, []
-        score, uses = self.value(parts[i:j], marks[i : j - 1])
-        return score + (self.marks.get(marks[i - 1], -8.0) if i else 0.0), uses
+        inner_marks = [self.piece(m)[1] if m.strip() else float(self.tables["inner"][_place("inner", m)]) for m in marks]
+        out: list[list[tuple[int, float]]] = [[]]
+        for j in range(1, len(parts) + 1):
+            ends = []
+            for i in range(max(0, j - most), j):
+                spelt = self.piece(parts[i])[0]
+                for k in range(i + 1, j):
+                    spelt += inner_marks[k - 1] + self.piece(parts[k])[1]
+                # a stretch of several pieces gets no credit for having been seen: two values that often stand together would grow into one
+                whole = self.whole("\x1f".join(parts[i:j])) if j - i == (self.arity or 1) else UNSEEN
+                top = max(spelt, whole)
+                score = top + math.log(0.5 * math.exp(spelt - top) + 0.5 * math.exp(whole - top))
+                if not any(parts[i:j]):
+                    score = -1.0
+                if self.arity and j - i != self.arity:
+                    score -= 12.0
+                ends.append((i, score + (self.marks.get(marks[i - 1], -8.0) if i else 0.0)))
+            out.append(ends)
+        return out
 
     def best(self, parts: list[str], marks: list[str]) -> list[list[str]]:
         """The most likely values."""
         lat, n = self.lattice(parts, marks), len(parts)
         top, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for j in range(1, n + 1):
-            for i, s, _ in lat[j]:
+            for i, s in lat[j]:
                 if top[i] + s > top[j]:
                     top[j], back[j] = top[i] + s, i
         out, j = [], n
@@ -182,20 +215,20 @@ class Model:
         lat, n = self.lattice(parts, marks), len(parts)
         a = [0.0] + [-math.inf] * n
         for j in range(1, n + 1):
-            xs = [a[i] + s for i, s, _ in lat[j]]
+            xs = [a[i] + s for i, s in lat[j]]
             m = max(xs)
             a[j] = m + math.log(sum(math.exp(x - m) for x in xs))
         b = [-math.inf] * n + [0.0]
         for j in range(n, 0, -1):
-            for i, s, _ in lat[j]:
+            for i, s in lat[j]:
                 x, y = b[i], b[j] + s
                 m = max(x, y)
                 b[i] = m + math.log(math.exp(x - m) + math.exp(y - m)) if m > -math.inf else m
         for j in range(1, n + 1):
-            for i, s, uses in lat[j]:
+            for i, s in lat[j]:
                 p = math.exp(a[i] + s + b[j] - a[n])
                 if p > 1e-6:
-                    for u in uses:
+                    for u in self.uses(parts[i:j], marks[i : j - 1]):
                         counts[u] += p
                     if i:
                         counts["mark", marks[i - 1]] += p
@@ -237,7 +270,7 @@ def learnt(df: DataFrame, column: str, arity: int | None = None, rounds: int = 3
                     if first:
                         step = m.arity or 1
                         for i in range(0, len(parts), step):
-                            for u in m.value(parts[i : i + step], marks[i : i + step - 1])[1]:
+                            for u in m.uses(parts[i : i + step], marks[i : i + step - 1]):
                                 counts[u] += 1.0
                             if i:
                                 counts["mark", marks[i - 1]] += 1.0
