@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, names, text
 from ..operators import advisory, embedding, lookup, panel, registers, tokens, vectors
+from ..session import small
 from ..sources.tables import table
 from ..streaming import monthly
 
@@ -522,7 +523,7 @@ def register_statistics(spark, sf):
 @query("SELECT entity || ' ' || y || '/' || m AS packed, entity, CAST(y AS INTEGER) AS year, CAST(m AS INTEGER) AS month FROM (SELECT DISTINCT n_name AS entity, year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey)")
 def packed_keys(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("entity"), "n_name")
-    d = _order_days(spark, sf).select(*_KEYS).distinct().join(F.broadcast(n), "entity")
+    d = _order_days(spark, sf).select(*_KEYS).distinct().join(small(n), "entity")
     d = d.select(F.concat("n_name", F.lit(" "), F.col("year").cast("string"), F.lit("/"), F.col("month").cast("string")).alias("packed"))
     return d.select("packed", *[c.alias(k) for k, c in dates.entity_month(F.col("packed")).items()])
 

@@ -62,8 +62,3 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count that stops at the limit proves it small; else df as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
-
-def spread(df: DataFrame, most: int = 64) -> DataFrame:
-    """df over as many tasks as the cluster has cores, if its scan has fewer; for Python stages over small files with heavy rows."""
-    want = min(most, max(df.sparkSession.sparkContext.defaultParallelism, 2))
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
