@@ -32,6 +32,8 @@ REMEMBERED = 200_000
 #: The log probability of a whole value that was never seen.
 UNSEEN = -60.0
 _CUT = re.compile(rf"[{re.escape(MARKS)}]")
+#: A quote where a span may open.
+_OPENS = re.compile(rf"(?:^|[\s{re.escape(MARKS)}])[\"']")
 _WORD = re.compile(r"[^\s]+")
 
 
@@ -63,6 +65,8 @@ def _plain(q: str) -> str:
 
 def pieces(text: str) -> tuple[list[str], list[str]]:
     """The pieces between the marks outside quotes, unquoted and trimmed, and the marks; one more piece than marks. Pieces may be empty."""
+    if not _OPENS.search(text):
+        return [p.strip() for p in _CUT.split(text)], _CUT.findall(text)
     out, marks, buf, i, n = [], [], [], 0, len(text)
     fresh = True
     while i < n:
@@ -84,6 +88,8 @@ def pieces(text: str) -> tuple[list[str], list[str]]:
 
 def groups(text: str) -> list[list[str]] | None:
     """The members of the innermost brackets, or None for a text without any."""
+    if "(" not in text and "[" not in text:
+        return None
     found, start, i, n, fresh, any_open = [], -1, 0, len(text), True, False
     while i < n:
         c = text[i]

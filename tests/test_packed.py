@@ -57,3 +57,13 @@ def test_pieces_and_groups():
     assert p.pieces("a; 'b;c' ,\"d\"\"e\"")[0] == ["a", "b;c", 'd"e']
     assert p.groups('[["T", "a\\"b", ""], ["U", "x", null]]') == [["T", 'a"b', ""], ["U", "x", ""]]
     assert p.groups("[]") == [] and p.groups("T,a,") is None
+
+
+def test_cutting_without_quotes_is_the_same(monkeypatch):
+    import re
+
+    r = random.Random(7)
+    texts = ["".join(r.choices("ab .;,&|/\n\t'", k=r.randint(0, 20))) for _ in range(3000)]
+    fast = [p.pieces(t) for t in texts]
+    monkeypatch.setattr(p, "_OPENS", re.compile(""))
+    assert [p.pieces(t) for t in texts] == fast
