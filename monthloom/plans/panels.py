@@ -32,36 +32,44 @@ def query(sql: str | None = None, name: str | None = None):
 
 # --- entity-months -------------------------------------------------------------------------------------------------------------------
 
-def _orders(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
+def _entity(fine: bool):
+    """Nations, or nations by market segment, whose months have gaps."""
+    return F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment") if fine else F.col("c_nationkey")
+
+
+def _orders(spark: SparkSession, sf: str, fine: bool = False) -> DataFrame:
     o = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
-    c = table(spark, sf, "customer")
-    c = (c.filter(F.col("c_mktsegment") == only) if only else c).select("c_custkey", "c_nationkey")
+    c = table(spark, sf, "customer").select("c_custkey", _entity(fine).alias("entity"))
     d = o.join(c, o.o_custkey == c.c_custkey)
-    return d.select(F.col("c_nationkey").alias("entity"), dates.month_idx(F.year("o_orderdate"), F.month("o_orderdate")).alias("month_idx"), "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return d.select("entity", dates.month_idx(F.year("o_orderdate"), F.month("o_orderdate")).alias("month_idx"), "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+
+
+def _facts(spark: SparkSession, sf: str, fine: bool = False) -> DataFrame:
+    return _orders(spark, sf, fine).groupBy("entity", "month_idx").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("cents").alias("cents"))
 
 
-def _facts(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
-    return _orders(spark, sf, only).groupBy("entity", "month_idx").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("cents").alias("cents"))
+def _panel(spark: SparkSession, sf: str, fine: bool = False, fill: int | None = None) -> DataFrame:
+    entities = table(spark, sf, "customer").select(_entity(True).alias("entity")) if fine else table(spark, sf, "nation").select(F.col("n_nationkey").alias("entity"))
+    return panel.dense(_facts(spark, sf, fine), entities, FIRST, LAST, MEASURES, fill)
 
 
-def _panel(spark: SparkSession, sf: str, only: str | None = None, fill: int | None = None) -> DataFrame:
-    entities = table(spark, sf, "nation").select(F.col("n_nationkey").alias("entity"))
-    return panel.dense(_facts(spark, sf, only), entities, FIRST, LAST, MEASURES, fill)
+def _entity_sql(fine: bool) -> str:
+    return "c_nationkey || '/' || c_mktsegment" if fine else "c_nationkey"
 
 
-def _facts_sql(only: str | None = None) -> str:
-    where = f" WHERE c_mktsegment = '{only}'" if only else ""
+def _facts_sql(fine: bool = False) -> str:
     return f"""facts AS (
-  SELECT c_nationkey AS entity, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS month_idx, count(*) AS n_orders,
+  SELECT {_entity_sql(fine)} AS entity, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS month_idx, count(*) AS n_orders,
          CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
-  FROM orders JOIN customer ON o_custkey = c_custkey{where} GROUP BY 1, 2)"""
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 
 
-def _panel_sql(only: str | None = None) -> str:
-    return f"""{_facts_sql(only)},
+def _panel_sql(fine: bool = False) -> str:
+    entities = f"(SELECT DISTINCT {_entity_sql(True)} AS entity FROM customer)" if fine else "(SELECT n_nationkey AS entity FROM nation)"
+    return f"""{_facts_sql(fine)},
 panel AS (
-  SELECT e.n_nationkey AS entity, CAST(m.m AS INTEGER) AS month_idx, f.n_orders, f.cents
-  FROM nation e CROSS JOIN (SELECT unnest(range({FIRST}, {LAST + 1})) AS m) m LEFT JOIN facts f ON f.entity = e.n_nationkey AND f.month_idx = m.m)"""
+  SELECT e.entity, CAST(m.m AS INTEGER) AS month_idx, f.n_orders, f.cents
+  FROM {entities} e CROSS JOIN (SELECT unnest(range({FIRST}, {LAST + 1})) AS m) m LEFT JOIN facts f ON f.entity = e.entity AND f.month_idx = m.m)"""
 
 
 @query(f"WITH {_facts_sql()} SELECT entity, month_idx, n_orders, cents FROM facts")
@@ -74,12 +82,12 @@ def dense_panel(spark, sf):
     return _panel(spark, sf, fill=0)
 
 
-@query(f"""WITH {_panel_sql("BUILDING")}
+@query(f"""WITH {_panel_sql(True)}
 SELECT *, CAST(sum(n_orders) OVER w AS BIGINT) AS n_orders_all, CAST(sum(n_orders) OVER w - coalesce(n_orders, 0) AS BIGINT) AS n_orders_out,
   CAST(sum(cents) OVER w AS BIGINT) AS cents_all, CAST(sum(cents) OVER w - coalesce(cents, 0) AS BIGINT) AS cents_out
 FROM panel WINDOW w AS (PARTITION BY month_idx)""")
 def own_out_all(spark, sf):
-    return panel.own_out_all(_panel(spark, sf, "BUILDING"), MEASURES)
+    return panel.own_out_all(_panel(spark, sf, True), MEASURES)
 
 
 def _window_sql(n: int, lag: int, measures=MEASURES) -> str:
@@ -88,8 +96,8 @@ def _window_sql(n: int, lag: int, measures=MEASURES) -> str:
 
 
 def _lag_query(n: int, lag: int, name: str) -> None:
-    sql = f"WITH {_panel_sql('BUILDING')} SELECT entity, month_idx, {_window_sql(n, lag)} FROM panel"
-    query(sql, name)(lambda spark, sf: panel.lagged(_panel(spark, sf, "BUILDING"), MEASURES, [n], lag))
+    sql = f"WITH {_panel_sql(True)} SELECT entity, month_idx, {_window_sql(n, lag)} FROM panel"
+    query(sql, name)(lambda spark, sf: panel.lagged(_panel(spark, sf, True), MEASURES, [n], lag))
 
 
 for _n in (1, 3, 6, 12):
@@ -114,17 +122,17 @@ def rolled_ratios(spark, sf):
     return panel.ratios(w, {"cents_per_order": ("cents_3m", "n_orders_3m"), "cents_share": ("cents_3m", "cents_all_3m")}).select("entity", "month_idx", "cents_per_order", "cents_share")
 
 
-@query(f"""WITH {_panel_sql("BUILDING")}, x AS (SELECT entity, month_idx, {_window_sql(3, 1)}, {_window_sql(12, 1)} FROM panel)
+@query(f"""WITH {_panel_sql(True)}, x AS (SELECT entity, month_idx, {_window_sql(3, 1)}, {_window_sql(12, 1)} FROM panel)
 SELECT c AS column_name, CAST(n_null AS BIGINT) AS n_null, CAST(n_rows AS BIGINT) AS n_rows FROM (
   {" UNION ALL ".join(f"SELECT '{c}' AS c, count(*) - count({c}) AS n_null, count(*) AS n_rows FROM x" for c in ["entity", "month_idx", "n_orders_3m", "cents_3m", "n_orders_12m", "cents_12m"])})""")
 def null_coverage(spark, sf):
-    return panel.coverage(panel.lagged(_panel(spark, sf, "BUILDING"), MEASURES, [3, 12], 1))
+    return panel.coverage(panel.lagged(_panel(spark, sf, True), MEASURES, [3, 12], 1))
 
 
-@query(f"""WITH {_panel_sql("BUILDING")}, {", ".join(f"x{n} AS (SELECT entity, month_idx, {_window_sql(n, 1)} FROM panel)" for n in (1, 3, 6, 12))}
+@query(f"""WITH {_panel_sql(True)}, {", ".join(f"x{n} AS (SELECT entity, month_idx, {_window_sql(n, 1)} FROM panel)" for n in (1, 3, 6, 12))}
 SELECT * FROM x1 FULL JOIN x3 USING (entity, month_idx) FULL JOIN x6 USING (entity, month_idx) FULL JOIN x12 USING (entity, month_idx)""")
 def windows_united(spark, sf):
-    p = _panel(spark, sf, "BUILDING")
+    p = _panel(spark, sf, True)
     return panel.united([panel.lagged(p, MEASURES, [n], 1) for n in (1, 3, 6, 12)], ["entity", "month_idx"])
 
 
@@ -446,10 +454,9 @@ _MON = ", ".join(f"'{m}'" for m in dates.MONTH_NAMES)
 
 @query(f"""SELECT incident_id, received_ts, CASE WHEN len(p) = 3 THEN TRY_CAST(p[1] AS INTEGER) END AS day, CASE WHEN len(p) = 3 THEN CAST(nullif(list_position([{_MON}], upper(p[2])), 0) AS INTEGER) END AS month,
 CASE WHEN len(p) = 3 THEN CASE WHEN TRY_CAST(p[3] AS INTEGER) BETWEEN 78 AND 99 THEN 1900 + TRY_CAST(p[3] AS INTEGER) WHEN TRY_CAST(p[3] AS INTEGER) < 78 THEN 2000 + TRY_CAST(p[3] AS INTEGER) ELSE TRY_CAST(p[3] AS INTEGER) END END AS year
-FROM (SELECT incident_id, received_ts, string_split(localeventdate, '-') AS p FROM faa_incidents WHERE regexp_full_match(localeventdate, '[0-9]+-[A-Za-z]+-[0-9]+'))""")
+FROM (SELECT incident_id, received_ts, string_split(localeventdate, '-') AS p FROM faa_incidents)""")
 def two_digit_dates(spark, sf):
-    d = table(spark, sf, "faa_incidents").filter(F.col("localeventdate").rlike(r"^[0-9]+-[A-Za-z]+-[0-9]+$"))
-    return d.select("incident_id", "received_ts", *[c.alias(k) for k, c in dates.day_month_year(F.col("localeventdate")).items()])
+    return table(spark, sf, "faa_incidents").select("incident_id", "received_ts", *[c.alias(k) for k, c in dates.day_month_year(F.col("localeventdate")).items()])
 
 
 @query("""SELECT ntsb_id, received_ts, CASE WHEN len(p) = 3 THEN TRY_CAST(p[1] AS INTEGER) END AS month, CASE WHEN len(p) = 3 THEN TRY_CAST(p[2] AS INTEGER) END AS day, CASE WHEN len(p) = 3 THEN TRY_CAST(p[3] AS INTEGER) END AS year
