@@ -96,26 +96,42 @@ def pairs() -> tuple[np.ndarray, np.ndarray]:
     return keys, np.array([found[k] for k in keys.tolist()], np.uint32)
 
 
+@lru_cache(maxsize=2)
+def direct(words_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(what each code point becomes on its own, whether it needs more care): one that becomes nothing or several, or is or leaves a combining mark, needs care."""
+    count, begin, flat, ccc = tables(words_only)
+    to, odd = flat[np.where(count > 0, begin, 0)], count != 1
+    keys, composed = pairs()
+    for cp in np.flatnonzero(count == 2).tolist():  # a letter with its accent stays one
+        x, y = flat[begin[cp] : begin[cp] + 2].tolist()
+        k = np.searchsorted(keys, x << 21 | y)
+        if ccc[y] and k < len(keys) and keys[k] == x << 21 | y:
+            to[cp], odd[cp] = composed[k], False
+    return to, odd | (ccc > 0) | (ccc[to] > 0)
+
+
 def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of all rows in a row, and the row each belongs to. Nulls have none."""
+    """The code points of all rows in a row, and where each row begins, with the end. Nulls have none."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
     cps = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    leads = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    sizes = np.diff(leads[offsets - offsets[0]])
-    return cps, np.repeat(np.arange(len(column)), sizes)
+    at = offsets - offsets[0]
+    if len(cps) != len(raw):
+        at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int64)])[at]
+    return cps, at
 
 
-def to_arrow(cps: np.ndarray, row: np.ndarray, n: int, valid: np.ndarray | None) -> pa.Array:
+def to_arrow(cps: np.ndarray, at: np.ndarray, valid: np.ndarray | None) -> pa.Array:
     """The reverse of code_points."""
     data = cps.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
-    width = 1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000)
-    ends = np.cumsum(np.bincount(row, weights=width, minlength=n)).astype(np.int64) if n else np.zeros(0, np.int64)
-    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    offsets = at
+    if len(data) != len(cps):
+        width = (cps >= 0x80).view(np.uint8) + (cps >= 0x800).view(np.uint8) + (cps >= 0x10000).view(np.uint8)
+        offsets = at + np.concatenate([[0], np.cumsum(width, dtype=np.int64)])[at]
     mask = None if valid is None or valid.all() else pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
-    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data), mask)
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data), mask)
 
 
 def _marks(cps: np.ndarray, row: np.ndarray, ccc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,34 +179,56 @@ def _composed(cps: np.ndarray, row: np.ndarray, ccc: np.ndarray) -> tuple[np.nda
         cps, row = np.delete(cps, at[one]), np.delete(row, at[one])
 
 
-def _changed(column: pa.Array, words_only: bool) -> pa.Array:
+def _careful(column: pa.Array, words_only: bool) -> pa.Array:
+    """Rows with marks, or with code points that become nothing or several: expanded, put in order, composed."""
     count, begin, flat, ccc = tables(words_only)
-    cps, row = code_points(column)
+    cps, at = code_points(column)
+    row = np.repeat(np.arange(len(column)), np.diff(at))
     if len(cps):
-        n = count[cps]
-        if (n != 1).any():
-            n = n.astype(np.int64)
-            ends = np.cumsum(n)
-            step = np.arange(ends[-1]) - np.repeat(ends - n, n)
-            cps, row = flat[np.repeat(begin[cps], n) + step], np.repeat(row, n)
-        else:
-            cps = flat[begin[cps]]
+        n = count[cps].astype(np.int64)
+        ends = np.cumsum(n)
+        step = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        cps, row = flat[np.repeat(begin[cps], n) + step], np.repeat(row, n)
         cps, row = _composed(_ordered(cps, row, ccc), row, ccc)
-    return to_arrow(cps, row, len(column), np.asarray(column.is_valid()))
+    return to_arrow(cps, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(column)))]).astype(np.int64), np.asarray(column.is_valid()))
+
+
+def _parted(column: pa.Array, apart: np.ndarray, these, others) -> pa.Array:
+    """these(the rows set apart) and others(the rest), in the old order."""
+    if not apart.any() or apart.all():
+        return (these if apart.any() else others)(column)
+    both = pa.chunked_array([others(column.filter(pa.array(~apart))), these(column.filter(pa.array(apart)))]).combine_chunks()
+    return both.take(pa.array(np.where(apart, (~apart).sum() + np.cumsum(apart) - 1, np.cumsum(~apart) - 1)))
+
+
+def _changed(column: pa.Array, words_only: bool) -> pa.Array:
+    """Rows whose code points each become one are gathered as they are; the others are set apart."""
+    to, odd = direct(words_only)
+    cps, at = code_points(column)
+    care = odd[cps]
+    if not care.any():
+        return to_arrow(to[cps], at, np.asarray(column.is_valid()))
+    sums = np.concatenate([[0], np.cumsum(care, dtype=np.int64)])[at]
+    apart = np.diff(sums) > 0
+    return _parted(column, apart, lambda c: _careful(c, words_only), lambda c: _changed(c, words_only))
+
+
+def _ascii_words(column: pa.Array) -> pa.Array:
+    """ASCII rows in lower case with blanks for what is no letter or digit, byte by byte."""
+    to, _ = direct(True)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
+    valid = np.asarray(column.is_valid())
+    mask = None if valid.all() else pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(to[:128].astype(np.uint8)[raw].tobytes()), mask)
 
 
 def one_form(column: pa.Array, words_only: bool = False) -> pa.Array:
-    """The column in its one form; nulls stay null, empty texts empty. Rows of ASCII characters only are left as they are, unless words_only."""
+    """The column in its one form; nulls stay null, empty texts empty. Rows of ASCII characters are left as they are or, for words_only, mapped byte by byte."""
     column = column.cast(pa.large_string())
-    if words_only:
-        return _changed(column, True)
     plain = np.asarray(pc.fill_null(pc.string_is_ascii(column), True)) if len(column) else np.ones(0, bool)
-    if plain.all():
-        return column
-    done = _changed(column.filter(pa.array(~plain)), False)
-    both = pa.chunked_array([column.filter(pa.array(plain)), done]).combine_chunks()
-    place = np.where(plain, np.cumsum(plain) - 1, plain.sum() + np.cumsum(~plain) - 1)
-    return both.take(pa.array(place))
+    return _parted(column, ~plain, lambda c: _changed(c, words_only), _ascii_words if words_only else lambda c: c)
 
 
 #: Characters of text handled at once; a batch of long texts is cut at rows.
