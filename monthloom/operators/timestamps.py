@@ -44,7 +44,7 @@ _LAYOUTS = [
     (r"^(\d{4})(\d{2})(\d{2})[T ]?(\d{2})(\d{2})(\d{2})(?:[.,]\d+)? *([A-Za-z].*|[-+].*)?$", "$1|$2|$3|$4:$5:$6 $7"),
     (r"^(\d{4})(\d{2})(\d{2})[T ](\d{2})(\d{2}) *([A-Za-z].*|[-+].*)?$", "$1|$2|$3|$4:$5 $6"),
     (r"^((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])([01]\d|2[0-3])([0-5]\d)$", "$1|$2|$3|$4:$5"),
-    (r"^((?:19[7-9]|20)\d{1,2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])([01]\d|2[0-3])$", "$1|$2|$3|$4:00"),
+    (r"^(19[7-9]\d|20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])([01]\d|2[0-3])$", "$1|$2|$3|$4:00"),
 ]
 #: Layouts of a month, rewritten to year|month||.
 _MONTH_LAYOUTS = [
