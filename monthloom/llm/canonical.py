@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settled
+
 #: Entries of a shard; what is broadcast never holds more.
 MOST_ENTRIES = 50_000
 #: Answers that a worker remembers.
@@ -374,6 +377,18 @@ def decided(found: list[tuple[float, object]]) -> tuple[object, float] | None:
     return found[0][1], found[0][0]
 
 
+_BUILT: dict[str, Gazetteer] = {}
+
+
+def _built(token: str, sent) -> Gazetteer:
+    """The gazetteer of a broadcast list; a worker builds it once for all its tasks and keeps a few."""
+    if token not in _BUILT:
+        while len(_BUILT) >= 2:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[token] = Gazetteer(sent.value)
+    return _BUILT[token]
+
+
 def _collected(reference: DataFrame, codes: list[str]) -> list[list[dict]]:
     """The reference list in shards of MOST_ENTRIES at most, ordered by id."""
     rows = reference.orderBy("id").toLocalIterator()
@@ -398,11 +413,11 @@ def map_to_entries(df: DataFrame, name: str, city: str, state: str, reference: D
     shards = _collected(reference, codes)
     ctx = df.sparkSession.sparkContext
 
-    def answers(entries: list[dict], best_two: bool):
-        sent = ctx.broadcast(entries)
+    def answers(entries: list[dict], names: list[str], best_two: bool):
+        sent, token = ctx.broadcast(entries), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g = Gazetteer(sent.value)
+            g = _built(token, sent)
             memo: dict[tuple, object] = {}
             for b in batches:
                 got = []
@@ -417,29 +432,25 @@ def map_to_entries(df: DataFrame, name: str, city: str, state: str, reference: D
                             memo[t] = r[0] if r else None
                     got.append(memo[t])
                 kind = pa.list_(pa.struct([("p", pa.float64()), ("id", _arrow(id_type))])) if best_two else _arrow(id_type)
-                yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.array(got, kind)], names=[*keep, "entry_id"])
+                yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.array(got, kind)], names=[*names, "entry_id"])
 
         return run
 
     base = df.select(F.col(name).cast("string").alias("_name"), F.col(city).cast("string").alias("_city"), F.col(state).cast("string").alias("_state"), *keep)
     fields = [df.schema[c] for c in keep]
     if len(shards) == 1:
-        return base.mapInArrow(answers(shards[0], False), T.StructType([*fields, T.StructField("entry_id", id_type)]))
+        return base.mapInArrow(answers(shards[0], keep, False), T.StructType([*fields, T.StructField("entry_id", id_type)]))
     # each shard names its two best; the best of all wins unless another is as good
     pair = T.ArrayType(T.StructType([T.StructField("p", T.DoubleType()), T.StructField("id", id_type)]))
-    rows = base.withColumn("_row", F.monotonically_increasing_id())
-    keep_row = [*keep, "_row"]
-    parts = []
-    for s in shards:
-        keep = keep_row
-        parts.append(rows.mapInArrow(answers(s, True), T.StructType([*fields, T.StructField("_row", T.LongType()), T.StructField("entry_id", pair)])))
-    keep = keep_row
+    rows, named = settled(base.withColumn("_row", F.monotonically_increasing_id())), [*keep, "_row"]  # every shard must see the same row ids
+    schema = T.StructType([*fields, T.StructField("_row", T.LongType()), T.StructField("entry_id", pair)])
+    parts = [rows.mapInArrow(answers(s, named, True), schema) for s in shards]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    merged = every.groupBy("_row", *keep_row[:-1]).agg(F.slice(F.sort_array(F.flatten(F.collect_list("entry_id"))), 1, 2).alias("two"))
+    merged = every.groupBy("_row", *keep).agg(F.slice(F.sort_array(F.flatten(F.collect_list("entry_id"))), 1, 2).alias("two"))
     clear = (F.size("two") > 0) & ((F.size("two") < 2) | (F.try_element_at("two", F.lit(2))["p"] - F.try_element_at("two", F.lit(1))["p"] >= 0.25))
-    return merged.select(*keep_row[:-1], F.when(clear, F.try_element_at("two", F.lit(1))["id"]).alias("entry_id"))
+    return merged.select(*keep, F.when(clear, F.try_element_at("two", F.lit(1))["id"]).alias("entry_id"))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -458,14 +469,13 @@ def closest(values: DataFrame, value: str, forms: DataFrame, form: str) -> DataF
         sent = values.sparkSession.sparkContext.broadcast([e["id"] for e in s])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tree, own = BKTree(), {}
+            tree = BKTree()
             for i, f in enumerate(sent.value):
                 tree.add(f.lower(), i)
             for b in batches:
                 rows = [(v, sent.value[i], d) for v in b.column(0).to_pylist() for d, _, at in tree.within(v.lower(), reach(len(v))) for i in at]
-                del own
-                own = {}
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], names=["value", "form", "distance"])
+                columns = list(zip(*rows)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], names=["value", "form", "distance"])
 
         part = distinct.mapInArrow(run, "value string, form string, distance int")
         out = part if out is None else out.unionByName(part)
