@@ -25,7 +25,7 @@ from .lookalike import _slices, one_form
 #: Words of a leak at least, and the share of them that must be unchanged.
 LEAST_WORDS, SHARE = 20, 0.9
 #: Words of a passage and the steps between passages of items and documents.
-WINDOW, ITEM_STEP, DOC_STEP = 20, 1, 2
+WINDOW, ITEM_STEP, DOC_STEP = 20, 2, 2
 #: Any stretch of up to 39 words with a tenth changed has at most three changed words; so a passage inside one knows all but three of its words.
 KNOWN = WINDOW - 3
 #: Rank of the latent space, more columns than that for the sketch, least cosine of a candidate.
@@ -54,7 +54,7 @@ class Items:
         out, of = [np.zeros((0, WINDOW), np.int32)], [np.zeros(0, np.int64)]
         for k, w in enumerate(self.words):
             if len(w) >= WINDOW:
-                at = np.arange(0, len(w) - WINDOW + 1, ITEM_STEP)
+                at = np.unique(np.append(np.arange(0, len(w) - WINDOW + 1, ITEM_STEP), len(w) - WINDOW))
                 out.append(w[at[:, None] + np.arange(WINDOW)])
                 of.append(np.full(len(at), k))
         return np.concatenate(out), np.concatenate(of)
@@ -262,7 +262,7 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
         real = held.filter(F.col(key).isNotNull())
         n = max(real.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         real = real.repartition(n)
-        basis = latent_basis(real, idf, own[:: WINDOW // 2])
+        basis = latent_basis(real, idf, own[:: WINDOW // 4])
         space = weighted(own, idf, basis)
         part = real.select(key, "words").mapInArrow(_search(it, idf, basis, space, of, key), f"item_id long, `{key}` {kind}")
         out = part if out is None else out.unionByName(part)
