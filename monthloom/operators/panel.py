@@ -16,13 +16,13 @@ def dense(facts: DataFrame, entities: DataFrame, first: int, last: int, measures
     return out.fillna(fill, measures) if fill is not None else out
 
 
-def own_out_all(panel: DataFrame, measures: list[str]) -> DataFrame:
-    """panel with `_all`, the month's total over entities, and `_out`, the total without the row's own.
+def own_out_all(panel: DataFrame, measures: list[str], by: list[str] = []) -> DataFrame:
+    """panel with `_all`, the month's total over entities (of the same by), and `_out`, the total without the row's own.
 
     Totals are summed by month first and joined back, so that no month is gathered in one task; null own values count as 0 in `_out`, and a month without values has null totals.
     """
-    totals = panel.groupBy("month_idx").agg(*[F.sum(c).alias(f"{c}_all") for c in measures])
-    out = panel.join(totals, "month_idx")
+    totals = panel.groupBy("month_idx", *by).agg(*[F.sum(c).alias(f"{c}_all") for c in measures])
+    out = panel.join(totals, ["month_idx", *by])
     return out.select(*panel.columns, *[x for c in measures for x in (F.col(f"{c}_all"), (F.col(f"{c}_all") - F.coalesce(F.col(c), F.lit(0))).alias(f"{c}_out"))])
 
 

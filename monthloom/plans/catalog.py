@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import panels, problems, wide
+from . import panels, problems, whole, wide
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return panels.QUERIES | wide.QUERIES | problems.QUERIES
+    return panels.QUERIES | wide.QUERIES | whole.QUERIES | problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
-    return wide.final_wide(spark, sf)
+    return whole.final_wide_whole(spark, sf)

@@ -254,8 +254,8 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("'" + x + "'" for x in r) + ")" for r in rows)
 
 
-def _vocabulary(spark, sf):
-    v = tokens.word_counts(_docs(spark, sf), "text", clean=False, distinct_texts=True)
+def tagged_words(spark, sf, v):
+    """The words of v with their full forms, flags and tags."""
     d = spark.createDataFrame(DICTIONARIES, "dict string, acronym string, fullform string")
     one = lambda ws: spark.createDataFrame([(w,) for w in ws], "word string")
     ref = table(spark, sf, "airport_reference")
@@ -267,6 +267,10 @@ def _vocabulary(spark, sf):
     return tokens.tagged(tokens.flags(tokens.with_dictionaries(v, d, ["nasa", "faa", "casa", "iata", "hand", "hand2"]), lists))
 
 
+def _vocabulary(spark, sf):
+    return tagged_words(spark, sf, tokens.word_counts(_docs(spark, sf), "text", clean=False, distinct_texts=True))
+
+
 _TAG_SQL = f"""v AS (SELECT word, count(*) AS ct FROM (SELECT unnest({_SPACED_SQL.format('t')}) AS word FROM (SELECT DISTINCT lower(text) AS t FROM documents)) GROUP BY 1),
 d(dict, acronym, fullform) AS (VALUES {_values(DICTIONARIES)}),
 en AS (SELECT DISTINCT unnest({_CLEAN_SQL.format('lower(text)')}) AS word FROM eval_items),

@@ -76,16 +76,21 @@ def register_panel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return panel.dense(lookup.allowed(u, "entity", top), top, FIRST, LAST, measures, 0), top
 
 
+def reports(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per report with its month_idx, null unless it is written as documented."""
+    r = latest(table(spark, sf, "asrs_reports"), "acn", "received_ts", ["report_date", "facility_code", "narrative", "callback", "synopsis", "combined"])
+    return r.withColumn("month_idx", F.when(F.col("report_date").rlike(r"^\d{6}$"), dates.month_idx(*dates.yyyymm(F.col("report_date")).values())))
+
+
 def report_panel(spark: SparkSession, sf: str, entities: DataFrame) -> DataFrame:
     """(entity, month_idx, WORDS) of the reports of these entities in months written as documented."""
-    r = latest(table(spark, sf, "asrs_reports"), "acn", "received_ts", ["report_date", "facility_code", "narrative", "callback"])
-    r = r.filter(F.col("report_date").rlike(r"^\d{6}$"))
-    d = r.select(F.col("facility_code").alias("entity"), dates.month_idx(*dates.yyyymm(F.col("report_date")).values()).alias("month_idx"), text.word_count(F.col("narrative")).alias("_w"), F.col("callback").isNotNull().alias("_c"))
+    r = reports(spark, sf).filter("month_idx is not null")
+    d = r.select(F.col("facility_code").alias("entity"), "month_idx", text.word_count(F.col("narrative")).alias("_w"), F.col("callback").isNotNull().alias("_c"))
     return lookup.allowed(d, "entity", entities).groupBy("entity", "month_idx").agg(F.count(F.lit(1)).alias("n_reports"), F.sum("_w").cast("long").alias("n_words"), F.count_if("_c").alias("n_callbacks"))
 
 
-def final_wide(spark: SparkSession, sf: str, lag: int = 1) -> DataFrame:
-    """The wide report with windows that end lag months before the row's month. Windows are null until they are complete; months without reports count 0."""
+def report_windows(spark: SparkSession, sf: str, lag: int) -> tuple[DataFrame, DataFrame]:
+    """(entity, month_idx, register counts, windows of WORDS, quotients) and the entities."""
     base, entities = register_panel(spark, sf)
     words = panel.dense(report_panel(spark, sf, entities), entities, FIRST, LAST, WORDS, 0)
     scoped = panel.own_out_all(words, WORDS)
@@ -96,15 +101,18 @@ def final_wide(spark: SparkSession, sf: str, lag: int = 1) -> DataFrame:
         quotients[f"avg_words_{n}m"] = (f"n_words_{n}m", f"n_reports_{n}m")
         quotients[f"share_words_{n}m"] = (f"n_words_{n}m", f"n_words_all_{n}m")
     out = base.join(panel.ratios(rolled, quotients), ["entity", "month_idx"], "left")
+    return ordered(out, [*base.columns, *[f"{m}_{n}m" for n in WINDOWS for m in measures], *quotients]), entities
+
+
+def named_months(df: DataFrame) -> DataFrame:
+    """df with year and month in place of month_idx."""
     year = F.floor((F.col("month_idx") - 1) / 12).cast("int")
-    out = out.withColumns({"year": year, "month": (F.col("month_idx") - year * 12).cast("int")})
-    order = ["entity", "year", "month", *base.columns[2:], *[f"{m}_{n}m" for n in WINDOWS for m in measures], *quotients]
-    return ordered(out, order)
+    return df.select("entity", year.alias("year"), (F.col("month_idx") - year * 12).cast("int").alias("month"), *[c for c in df.columns if c not in ("entity", "month_idx")])
 
 
-def final_wide_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """How many cells of each column of the wide report are null."""
-    return panel.coverage(final_wide(spark, sf))
+def final_wide(spark: SparkSession, sf: str, lag: int = 1) -> DataFrame:
+    """The wide report with windows that end lag months before the row's month. Windows are null until they are complete; months without reports count 0."""
+    return named_months(report_windows(spark, sf, lag)[0])
 
 
 def _sql() -> str:
@@ -140,5 +148,5 @@ SELECT l.entity, CAST((l.month_idx - 1) // 12 AS INTEGER) AS year, CAST((l.month
 FROM l LEFT JOIN u USING (entity, month_idx)"""
 
 
-QUERIES = {"final_wide": final_wide, "final_wide_coverage": final_wide_coverage}
+QUERIES = {"final_wide": final_wide}
 ORACLE = {"final_wide": _sql()}
