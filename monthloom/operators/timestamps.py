@@ -206,7 +206,7 @@ def normalised(df: DataFrame, value: str, tz: str, *, day_needed: bool = True) -
     # the day of a moment given with a zone is that of the row's own zone
     moment = F.timestamp_seconds("utc_seconds")
     here = F.unix_seconds(F.when(F.col(tz).isNull(), moment).otherwise(F.from_utc_timestamp(moment, F.col(tz))))
-    local_day = F.when(st == "zoned", F.date_from_unix_date(F.floor(here / 86400).cast("int"))).when(st.isin("day", "local", "ambiguous", "skipped"), F.col("_t_date"))
+    local_day = F.when(st == "zoned", F.date_from_unix_date(F.floor(here / 86400).cast("int"))).when(st.isin("day", "local", "ambiguous", "skipped", "unplaced"), F.col("_t_date"))
     return d.withColumn("local_day", local_day).drop(*[c for c in d.columns if c.startswith(("_t_", "_z_"))])
 
 

@@ -117,9 +117,9 @@ def similarities(spark: SparkSession, sf: str, corpus: DataFrame, texts: DataFra
 
 
 def final_wide_whole(spark: SparkSession, sf: str, lag: int = 1) -> DataFrame:
-    """final_wide with the windows of the words and the similarities of all text columns; columns of a text column start with its short name, similarities with `trcn`."""
-    base, entities = wide.report_windows(spark, sf, lag)
-    reports = settled(wide.reports(spark, sf))
+    """final_wide with the windows of the words and the similarities of all text columns; columns of a text column start with its short name, similarities with `trcn`. Every readable date counts."""
+    base, entities = wide.report_windows(spark, sf, lag, every=True)
+    reports = settled(wide.reports(spark, sf, every=True))
     corpus = settled(_long(reports))
     texts = settled(lookup.allowed(corpus.filter("month_idx is not null").withColumn("_e", F.col("entity.entity")), "_e", entities.withColumnRenamed("entity", "_e")).drop("_e"))
     words = settled(word_windows(word_facts(spark, sf, texts), entities, lag))

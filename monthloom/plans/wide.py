@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, names, text
 from ..operators import lookup, panel, registers
-from ..operators.timestamps import latest
+from ..operators.timestamps import latest, normalised, with_zone
 from ..session import settled
 from ..sources.tables import table
 
@@ -54,19 +54,32 @@ def shortened(df: DataFrame, short: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(new)
 
 
-def _register_days(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    a = latest(table(spark, sf, "faa_incidents"), "incident_id", "received_ts", ["localeventdate", "tracon_code"])
-    a = a.filter(F.col("localeventdate").rlike(r"^\d{2}-[A-Z]{3}-\d{2}$")).select(F.col("tracon_code").alias("entity"), *[c.alias(k) for k, c in dates.day_month_year(F.col("localeventdate")).items()])
-    b = latest(table(spark, sf, "ntsb_incidents"), "ntsb_id", "received_ts", ["event_date", "airport_code", "investigation_type"])
-    b = b.filter(F.col("event_date").rlike(r"^\d{2}/\d{2}/\d{4}$")).select(names.short_code(names.clean_code(F.col("airport_code"))).alias("entity"), *[c.alias(k) for k, c in dates.slashed(F.col("event_date")).items()], F.col("investigation_type").alias("kind"))
+def _any_day(df: DataFrame, value: str, key: str, places: tuple[DataFrame, str], day_needed: bool = True) -> DataFrame:
+    """df with local_day, the day that a value in any readable form means where it was written, and norm_text; the zone is that of the place that key names."""
+    return normalised(with_zone(df, key, places[0], places[1], "tz_name"), value, "tz_of_row", day_needed=day_needed)
+
+
+def _register_days(spark: SparkSession, sf: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Events of both registers by entity, month and day: those dated as documented, or every readable date."""
+    a = latest(table(spark, sf, "faa_incidents"), "incident_id", "received_ts", ["localeventdate", "tracon_code", "office_code"])
+    b = latest(table(spark, sf, "ntsb_incidents"), "ntsb_id", "received_ts", ["event_date", "airport_code", "investigation_type", "office_code"])
+    if every:
+        offices = table(spark, sf, "field_offices"), "office_code"
+        days = {k: f("local_day") for k, f in (("day", F.dayofmonth), ("month", F.month), ("year", F.year))}
+        a, b = (_any_day(d, c, "office_code", offices).withColumns(days) for d, c in ((a, "localeventdate"), (b, "event_date")))
+    else:
+        a = a.filter(F.col("localeventdate").rlike(r"^\d{2}-[A-Z]{3}-\d{2}$")).withColumns(dates.day_month_year(F.col("localeventdate")))
+        b = b.filter(F.col("event_date").rlike(r"^\d{2}/\d{2}/\d{4}$")).withColumns(dates.slashed(F.col("event_date")))
+    a = a.withColumn("entity", F.col("tracon_code"))
+    b = b.withColumns({"entity": names.short_code(names.clean_code(F.col("airport_code"))), "kind": F.col("investigation_type")})
     keep = "entity is not null and month between 1 and 12 and year between 1988 and 2019"
     month = dates.month_idx(F.col("year"), F.col("month")).alias("month_idx")
     return a.filter(keep).select("entity", month, "day"), b.filter(keep).select("entity", month, "day", "kind")
 
 
-def register_panel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def register_panel(spark: SparkSession, sf: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(entity, month_idx, faa, incidents, accidents, n_overlap, total, total_nodups) of the TOP busiest entities, dense; and those entities."""
-    a, b = _register_days(spark, sf)
+    a, b = _register_days(spark, sf, every)
     keys = ["entity", "month_idx"]
     u = registers.union_totals([registers.counts(a, keys, "faa"), registers.class_counts(b, keys, "kind", {"incidents": "Incident", "accidents": "Accident"})], keys, ["faa", "incidents", "accidents"])
     u = registers.with_overlap(u, registers.overlap(a, b, [*keys, "day"], keys), keys).withColumn("total", F.col("faa") + F.col("incidents") + F.col("accidents"))
@@ -76,23 +89,27 @@ def register_panel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return panel.dense(lookup.allowed(u, "entity", top), top, FIRST, LAST, measures, 0), top
 
 
-def reports(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per report with its month_idx, null unless it is written as documented."""
+def reports(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    """One row per report with its month_idx, null unless the date is written as documented, or (every) in any readable form."""
     r = latest(table(spark, sf, "asrs_reports"), "acn", "received_ts", ["report_date", "facility_code", "narrative", "callback", "synopsis", "combined"])
+    if every:
+        r = _any_day(r, "report_date", "facility_code", (table(spark, sf, "airport_reference"), "loc_id"), day_needed=False)
+        parts = F.split(F.coalesce(F.date_format("local_day", "yyyy-MM"), F.when(F.col("time_status") == "month", F.col("norm_text"))), "-")
+        return r.withColumn("month_idx", dates.month_idx(parts[0].cast("int"), parts[1].cast("int")))
     return r.withColumn("month_idx", F.when(F.col("report_date").rlike(r"^\d{6}$"), dates.month_idx(*dates.yyyymm(F.col("report_date")).values())))
 
 
-def report_panel(spark: SparkSession, sf: str, entities: DataFrame) -> DataFrame:
-    """(entity, month_idx, WORDS) of the reports of these entities in months written as documented."""
-    r = reports(spark, sf).filter("month_idx is not null")
+def report_panel(spark: SparkSession, sf: str, entities: DataFrame, every: bool = False) -> DataFrame:
+    """(entity, month_idx, WORDS) of the reports of these entities in months written as documented, or of every readable date."""
+    r = reports(spark, sf, every).filter("month_idx is not null")
     d = r.select(F.col("facility_code").alias("entity"), "month_idx", text.word_count(F.col("narrative")).alias("_w"), F.col("callback").isNotNull().alias("_c"))
     return lookup.allowed(d, "entity", entities).groupBy("entity", "month_idx").agg(F.count(F.lit(1)).alias("n_reports"), F.sum("_w").cast("long").alias("n_words"), F.count_if("_c").alias("n_callbacks"))
 
 
-def report_windows(spark: SparkSession, sf: str, lag: int) -> tuple[DataFrame, DataFrame]:
+def report_windows(spark: SparkSession, sf: str, lag: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(entity, month_idx, register counts, windows of WORDS, quotients) and the entities."""
-    base, entities = register_panel(spark, sf)
-    words = panel.dense(report_panel(spark, sf, entities), entities, FIRST, LAST, WORDS, 0)
+    base, entities = register_panel(spark, sf, every)
+    words = panel.dense(report_panel(spark, sf, entities, every), entities, FIRST, LAST, WORDS, 0)
     scoped = panel.own_out_all(words, WORDS)
     measures = column_names([WORDS, ["", "out", "all"]])
     rolled = panel.lagged(scoped, measures, WINDOWS, lag)
@@ -111,7 +128,10 @@ def named_months(df: DataFrame) -> DataFrame:
 
 
 def final_wide(spark: SparkSession, sf: str, lag: int = 1) -> DataFrame:
-    """The wide report with windows that end lag months before the row's month. Windows are null until they are complete; months without reports count 0."""
+    """The wide report with windows that end lag months before the row's month. Windows are null until they are complete; months without reports count 0.
+
+    Only dates exactly in the documented form count, as in the SQL; final_wide_whole counts every readable date.
+    """
     return named_months(report_windows(spark, sf, lag)[0])
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
-from monthloom.plans import panels, whole
+from monthloom.plans import panels, whole, wide
 from monthloom.operators import panel
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -42,3 +42,22 @@ def test_totals_stay_within_their_group(spark):
     p = spark.createDataFrame([("a", 1, "s", 1), ("b", 1, "s", 2), ("a", 1, "t", 40)], "entity string, month_idx int, field string, v long")
     got = {(r.entity, r.field): (r.v_all, r.v_out) for r in panel.own_out_all(p, ["v"], ["field"]).collect()}
     assert got == {("a", "s"): (3, 2), ("b", "s"): (3, 1), ("a", "t"): (40, 0)}
+
+
+def test_every_readable_date_counts(spark, tmp_path):
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    put("field_offices", [("O", "America/New_York")], "office_code string, tz_name string")
+    put("airport_reference", [("AAA", "America/New_York")], "loc_id string, tz_name string")
+    a = ["04-JAN-88", " 04-JAN-88 ", "1988-01-04", "1988-01-05T02:00:00Z", "568324800", "04-JAN-88 23:03", "31-FEB-88", None]  # the number is 1988-01-04 15:00 in New York
+    put("faa_incidents", [(i, d, "AAA", None if i == 5 else "O", i) for i, d in enumerate(a)], "incident_id long, localeventdate string, tracon_code string, office_code string, received_ts long")
+    put("ntsb_incidents", [(1, "01/04/1988", "KAAA", "Incident", "O", 1), (2, "4 January 1988", "AAA", "Accident", "O", 1)], "ntsb_id long, event_date string, airport_code string, investigation_type string, office_code string, received_ts long")
+    r = ["198801", "JAN-88", "1988/1", "04-JAN-1988", "19880201T0200Z", "1988", None]  # the fifth is still January in New York
+    put("asrs_reports", [(i, d, "AAA", "one two", None, None, None, 1) for i, d in enumerate(r)], "acn long, report_date string, facility_code string, narrative string, callback string, synopsis string, combined string, received_ts long")
+    m = 1988 * 12 + 1
+    for every, want, reports in ((False, (1, 1, 0, 1, 2, 1), 1), (True, (6, 1, 1, 2, 8, 6), 5)):
+        base, top = wide.register_panel(spark, str(tmp_path), every)
+        row = base.filter(f"month_idx = {m}").first()
+        assert tuple(row)[2:] == want
+        assert [(x.month_idx, x.n_reports, x.n_words) for x in wide.report_panel(spark, str(tmp_path), top, every).collect()] == [(m, reports, 2 * reports)]
