@@ -23,6 +23,8 @@ LEAST = 0.75
 ROUNDS = 200
 #: Random pairs for each record of the smaller table.
 DRAWS = 2
+#: So few pairs are settled on the driver.
+FINISH = 20_000
 
 
 def _compared(a: str = "a", b: str = "b") -> dict[str, Column]:
@@ -137,18 +139,28 @@ def scored(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(known), list(LEVELS))
 
 
-def one_to_one(pairs: DataFrame, rounds: int = 3) -> DataFrame:
-    """Of scored pairs those that are the best for both their records; then the same among what is left, for so many rounds. Ties go to the smaller ids."""
-    rest, out = pairs, None
-    for i in range(rounds):
-        wa = Window.partitionBy("a_id").orderBy(F.desc("confidence"), "gap", "b_id")
-        wb = Window.partitionBy("b_id").orderBy(F.desc("confidence"), "gap", "a_id")
+def one_to_one(pairs: DataFrame, finish: int = FINISH) -> DataFrame:
+    """Of scored pairs those that are the best for both their records; then the same among what is left, until nothing is.
+
+    Ties go by a print of the pair, so that a round settles many pairs of a block of equals. Once no more than finish pairs are left, the driver takes them in the same order, which gives the same links.
+    """
+    order = [F.desc("confidence"), "gap", "_tie"]
+    rest, out = settled(pairs.withColumn("_tie", F.xxhash64("a_id", "b_id"))), None
+    while rest.count() > finish:
+        wa = Window.partitionBy("a_id").orderBy(*order, "b_id")
+        wb = Window.partitionBy("b_id").orderBy(*order, "a_id")
         best = rest.withColumn("ra", F.row_number().over(wa)).withColumn("rb", F.row_number().over(wb)).filter("ra = 1 and rb = 1").drop("ra", "rb")
         best = settled(best)
         out = best if out is None else out.unionByName(best)
-        if i + 1 < rounds:
-            rest = rest.join(best.select("a_id"), "a_id", "left_anti").join(best.select("b_id"), "b_id", "left_anti")
-    return out
+        rest = settled(rest.join(best.select("a_id"), "a_id", "left_anti").join(best.select("b_id"), "b_id", "left_anti"))
+    last, seen_a, seen_b = [], set(), set()
+    for r in sorted(rest.collect(), key=lambda r: (-r.confidence, r.gap, r._tie, r.a_id, r.b_id)):
+        if r.a_id not in seen_a and r.b_id not in seen_b:
+            last.append(r)
+            seen_a.add(r.a_id)
+            seen_b.add(r.b_id)
+    last = pairs.sparkSession.createDataFrame(last, rest.schema)
+    return (last if out is None else out.unionByName(last)).drop("_tie")
 
 
 def linked(a: DataFrame, b: DataFrame) -> DataFrame:

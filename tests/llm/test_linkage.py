@@ -85,3 +85,28 @@ def test_nulls_and_empty(spark):
     none = (1, *[None] * 11)
     a, e = spark.createDataFrame([none], SCHEMA), spark.createDataFrame([], SCHEMA)
     assert k.linked(a, a).count() == k.linked(a, e).count() == k.linked(e, a).count() == 0
+
+
+PAIR = "a_id long, b_id long, confidence double, gap int"
+
+
+def test_all_of_a_block_of_equals_are_linked(spark):
+    pairs = spark.createDataFrame([(x, 100 + y, 0.9, 0) for x in range(12) for y in range(12)], PAIR)
+    for finish in (0, k.FINISH):
+        got = k.one_to_one(pairs, finish).collect()
+        assert len(got) == len({r.a_id for r in got}) == len({r.b_id for r in got}) == 12
+
+
+def test_long_chains_of_best_partners(spark):
+    steps = range(20)  # each pair shares a record with the next, which is better
+    pairs = spark.createDataFrame([((i + 1) // 2, 100 + i // 2, 0.76 + i / 100, 0) for i in steps], PAIR)
+    want = {((i + 1) // 2, 100 + i // 2) for i in steps if i % 2}
+    for finish in (0, 7, k.FINISH):
+        assert {(r.a_id, r.b_id) for r in k.one_to_one(pairs, finish).collect()} == want
+
+
+def test_rounds_and_driver_agree(spark):
+    r = random.Random(5)
+    rows = {(r.randrange(40), 100 + r.randrange(40)): (r.choice([0.8, 0.9]), r.randrange(2)) for _ in range(200)}
+    pairs = spark.createDataFrame([(*p, *v) for p, v in rows.items()], PAIR)
+    assert k.one_to_one(pairs, 0).exceptAll(k.one_to_one(pairs)).count() == k.one_to_one(pairs).exceptAll(k.one_to_one(pairs, 0)).count() == 0
