@@ -35,6 +35,8 @@ _CUT = re.compile(rf"[{re.escape(MARKS)}]")
 #: A quote where a span may open.
 _OPENS = re.compile(rf"(?:^|[\s{re.escape(MARKS)}])[\"']")
 _WORD = re.compile(r"[^\s]+")
+#: What may stand beside groups without being a value.
+_HOLLOW = re.compile(rf"[\s{re.escape(MARKS)}()\[\]]*")
 
 
 def _close(s: str, i: int, ends: str) -> int:
@@ -86,8 +88,8 @@ def pieces(text: str) -> tuple[list[str], list[str]]:
     return [*out, "".join(buf).strip()], marks
 
 
-def groups(text: str) -> list[list[str]] | None:
-    """The members of the innermost brackets, or None for a text without any."""
+def _spans(text: str) -> list[tuple[int, int, list[str]]] | None:
+    """Begin, end and members of the innermost brackets, or None for a text without any."""
     if "(" not in text and "[" not in text:
         return None
     found, start, i, n, fresh, any_open = [], -1, 0, len(text), True, False
@@ -101,13 +103,52 @@ def groups(text: str) -> list[list[str]] | None:
         elif c in ")]" and start >= 0:
             inner = text[start + 1 : i]
             if inner.strip():
-                found.append(_members(inner))
+                found.append((start, i + 1, _members(inner)))
             start = -1
         fresh = c.isspace() or c in ",;([|&/"
         i += 1
     return found if any_open else None
 
 
+def groups(text: str) -> list[list[str]] | None:
+    """The members of the innermost brackets, or None for a text without any."""
+    found = _spans(text)
+    return None if found is None else [m for _, _, m in found]
+
+
+def stretches(text: str) -> list[list[str] | str]:
+    """A text of values with a fixed number of members in order: the members of a group as a list, the bare text between groups as it is.
+
+    Beside bare text, brackets of one member and those inside a piece are ordinary characters; so is one that isn't closed, but for a text that begins or ends with it.
+    """
+    found = _spans(text)
+    if found is None:
+        return [text]
+    cuts = [0, *[x for a, b, _ in found for x in (a, b)], len(text)]
+    if all(_HOLLOW.fullmatch(text[a:b]) for a, b in zip(cuts[::2], cuts[1::2])):
+        return [m for _, _, m in found]
+    out, at = [], 0
+    apart = [(a, b, m) for a, b, m in found if len(m) > 1 and text[:a].rstrip(" ")[-1:] in {"", *MARKS, *"([)]"} and text[b:].lstrip(" ")[:1] in {"", *MARKS, *"([)]"}]
+    for a, b, m in [*apart, (len(text), len(text), None)]:
+        bare = text[at:a].strip(" ")
+        # the mark beside a group parts it from the bare text
+        if at and bare[:1] in {*MARKS, *")]"}:
+            bare = bare[1:].strip(" ")
+        if m is not None and bare[-1:] in {*MARKS}:
+            bare = bare[:-1].strip(" ")
+        if not _HOLLOW.fullmatch(bare):
+            more = sum(map(bare.count, "([")) - sum(map(bare.count, ")]"))
+            while more > 0 and bare[0] in "([":
+                bare, more = bare[1:].lstrip(" "), more - 1
+            while more < 0 and bare[-1] in ")]":
+                bare, more = bare[:-1].rstrip(" "), more + 1
+            out.append(bare)
+        if m is not None:
+            out.append(m)
+        at = b
+    return out
+
+
 def _members(inner: str) -> list[str]:
     out, buf, i, fresh = [], [], 0, True
     while i < len(inner):
@@ -265,10 +306,12 @@ def learnt(df: DataFrame, column: str, arity: int | None = None, rounds: int = 3
 
         def run(batches: Iterator[pa.RecordBatch], first: bool = turn == 0, sent=sent) -> Iterator[pa.RecordBatch]:
             counts: dict[tuple[str, int | str], float] = defaultdict(float)
+            known: dict[tuple[str, ...], float] = defaultdict(float)
             m = sent.value
             for b in batches:
-                for text in b.column(0).to_pylist():
-                    if m.arity and groups(text) is not None:
+                for text in (x for t in b.column(0).to_pylist() for x in (stretches(t) if m.arity else [t])):
+                    if isinstance(text, list):
+                        known[tuple(text)] += 1.0
                         continue
                     parts, marks = _cut(text, m.arity)
                     if not parts:
@@ -282,6 +325,12 @@ def learnt(df: DataFrame, column: str, arity: int | None = None, rounds: int = 3
                                 counts["mark", marks[i - 1]] += 1.0
                     else:
                         m.expected(parts, marks, counts)
+                # a group is one value on every path
+                for members, n in known.items():
+                    if len(members) == m.arity:
+                        for u in m.uses(list(members), [","] * (m.arity - 1)):
+                            counts[u] += n
+                known.clear()
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in counts], pa.string()), pa.array([str(i) for _, i in counts], pa.string()), pa.array(list(counts.values()), pa.float64())], names=["kind", "place", "n"])
 
         sums = texts.mapInArrow(run, "kind string, place string, n double").groupBy("kind", "place").agg(F.sum("n").alias("n"))
@@ -312,7 +361,7 @@ def split_values(df: DataFrame, key: str, column: str, arity: int | None = None,
     """(key, pos, item, n_values): one row per value of the column, pos from 1.
 
     arity None: values are texts of any number of pieces. Else a value is that many members, given as the non-empty ones joined by one blank; its members may
-    be bracketed (then the brackets say what belongs together) or stand between marks. Null and empty texts give no rows; empty values are skipped and not
+    be bracketed (then the brackets say what belongs together) or stand between marks, also both in one text. Null and empty texts give no rows; empty values are skipped and not
     counted; repeated rows give repeated values; a quote that isn't closed is an ordinary character; extra columns are ignored.
     """
     model = df.sparkSession.sparkContext.broadcast(learnt(df, column, arity, rounds))
@@ -322,12 +371,15 @@ def split_values(df: DataFrame, key: str, column: str, arity: int | None = None,
         for b in batches:
             at, pos, item, n = [], [], [], []
             for k, text in enumerate(b.column(1).to_pylist()):
-                found = groups(text) if m.arity else None
-                if found is None:
+                if m.arity:
+                    found = []
+                    for x in stretches(text):
+                        parts, marks = ([], []) if isinstance(x, list) else _cut(x, m.arity)
+                        found += [x] if isinstance(x, list) else m.best(parts, marks) if parts else []
+                else:
                     parts, marks = _cut(text, m.arity)
                     found = m.best(parts, marks) if parts else []
-                    if not m.arity:
-                        found = [["".join(p + (q if q in ",;" else f" {q} ") for p, q in zip(v, [*_inner(parts, marks, v), ""])).strip()] if len(v) > 1 else v for v in found]
+                    found = [["".join(p + (q if q in ",;" else f" {q} ") for p, q in zip(v, [*_inner(parts, marks, v), ""])).strip()] if len(v) > 1 else v for v in found]
                 values = [v for v in (" ".join(x for x in f if x) for f in found) if v]
                 at += [k] * len(values)
                 pos += range(1, len(values) + 1)

@@ -59,6 +59,24 @@ def test_pieces_and_groups():
     assert p.groups("[]") == [] and p.groups("T,a,") is None
 
 
+def test_bare_values_beside_groups_and_open_brackets(spark):
+    rows = [(i, f"Tower,A{i},x") for i in range(40)] + [(100, "(Tower, A1, x); Center,B,y | [Ramp, C, z]"), (101, "[Center,B,y, (Tower, A1, x)]"), (102, "(Tower,A1,x;Center,B,y"), (103, "Tower,Field (North),x"), (104, "[('Tower', 'A1', None), ('Ramp', 'C', 'z')]")]
+    got = {}
+    for r in p.split_values(spark.createDataFrame(rows, "id int, f string"), "id", "f", 3).collect():
+        got.setdefault(r.id, {})[r.pos] = r.item
+    values = {k: [v[i + 1] for i in range(len(v))] for k, v in got.items()}
+    assert values[100] == ["Tower A1 x", "Center B y", "Ramp C z"]
+    assert values[101] == ["Center B y", "Tower A1 x"]
+    assert values[102] == ["Tower A1 x", "Center B y"]
+    assert values[103] == ["Tower Field (North) x"]
+    assert values[104] == ["Tower A1", "Ramp C z"]
+
+
+def test_groups_are_learnt_from(spark):
+    m = p.learnt(spark.createDataFrame([("[('Tower', 'A', 'x')]",)] * 3, "f string"), "f", 3)
+    assert m.whole("Tower\x1fA\x1fx") > p.UNSEEN
+
+
 def test_cutting_without_quotes_is_the_same(monkeypatch):
     import re
 
