@@ -25,11 +25,13 @@ from .lookalike import _slices, one_form
 #: Words of a leak at least, and the share of them that must be unchanged.
 LEAST_WORDS, SHARE = 20, 0.9
 #: Words of a passage and the steps between passages of items and documents.
-WINDOW, ITEM_STEP, DOC_STEP = 20, 2, 2
+WINDOW, ITEM_STEP, DOC_STEP = 20, 1, 2
 #: Any stretch of up to 39 words with a tenth changed has at most three changed words; so a passage inside one knows all but three of its words.
 KNOWN = WINDOW - 3
 #: Rank of the latent space, more columns than that for the sketch, least cosine of a candidate.
 RANK, EXTRA, COSINE = 96, 16, 0.7
+#: Passages that a sum of the sketch holds at once.
+AT_ONCE = 1_024
 #: Words of held-out items that one model may hold; more items than fit are searched block by block.
 MOST_ITEMS = 2_000
 
@@ -133,14 +135,16 @@ def _sketch(spans_: DataFrame, idf: np.ndarray, q: np.ndarray, own: np.ndarray)
         for b in batches:
             for w in b.column(0):
                 p, _ = _windows(np.asarray(w.values))
-                part(p[::WINDOW // DOC_STEP], idf, q, total)
+                for i in range(0, len(p), AT_ONCE):
+                    part(p[i : i + AT_ONCE], idf, q, total)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["word", "v"])
 
     sums = spans_.select("words").mapInArrow(run, "word int, v array<double>").groupBy("word").agg(*[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(q.shape[1])])
     rows = sums.toPandas().set_index("word")  # words x columns, bounded by the items
     out = np.zeros(q.shape)
     out[rows.index.to_numpy()] = rows.to_numpy()
-    part(own, idf, q, out)
+    for i in range(0, len(own), AT_ONCE):
+        part(own[i : i + AT_ONCE], idf, q, out)
     return out
 
 
@@ -262,7 +266,7 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
         real = held.filter(F.col(key).isNotNull())
         n = max(real.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         real = real.repartition(n)
-        basis = latent_basis(real, idf, own[:: WINDOW // 4])
+        basis = latent_basis(real, idf, own)
         space = weighted(own, idf, basis)
         part = real.select(key, "words").mapInArrow(_search(it, idf, basis, space, of, key), f"item_id long, `{key}` {kind}")
         out = part if out is None else out.unionByName(part)

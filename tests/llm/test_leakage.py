@@ -96,3 +96,19 @@ def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "w " * 30)], "item_id long, text string")
     assert k.leaked(docs, "doc_id", "text", items, "item_id", "text").count() == 0
     assert k.leaked(spark.createDataFrame([(1, "x")], docs.schema), "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
+
+
+def test_the_sketch_sums_every_passage(spark):
+    r = np.random.default_rng(11)
+    items = k.Items([1], [np.arange(30, dtype=np.int32)], {str(i): i for i in range(30)})
+    own, _ = items.passages()
+    assert [p[0] for p in own] == list(range(11))
+    words = [r.integers(0, 30, n).tolist() for n in (20, 27, 61)]
+    idf, q = r.random(30) + 0.5, r.standard_normal((30, 4))
+    rows = np.concatenate([k._windows(np.array(w, np.int32))[0] for w in words] + [own])
+    a = np.zeros((len(rows), 30))
+    for i, p in enumerate(rows):
+        np.add.at(a[i], p[p >= 0], idf[p[p >= 0]])
+        a[i] /= np.sqrt((idf[p[p >= 0]] ** 2).sum())
+    df = spark.createDataFrame([(w,) for w in words], "words array<int>")
+    assert np.allclose(k._sketch(df, idf, q, own), a.T @ (a @ q))
