@@ -17,18 +17,18 @@ REGISTERS = [
 
 
 def _times(spark: SparkSession, sf: str, only_undocumented: bool) -> DataFrame:
+    """The records of the three registers in one table, normalised at once."""
     parts = []
     for name, source, key, value, place, form, day_needed in REGISTERS:
         rows = timestamps.latest(table(spark, sf, source), key, "received_ts", [value, place])
         if only_undocumented:
             rows = rows.filter(F.col(value).isNotNull() & ~timestamps.is_documented(F.col(value), form))
-        if name == "asrs":
-            rows = timestamps.with_zone(rows, place, table(spark, sf, "airport_reference"), "loc_id", "tz_name")
-        else:
-            rows = timestamps.with_zone(rows, place, table(spark, sf, "field_offices"), "office_code", "tz_name")
-        out = timestamps.normalised(rows, value, "tz_of_row", day_needed=day_needed)
-        parts.append(out.select(F.lit(name).alias("register_name"), F.col(key).alias("record_id"), "norm_text", "time_status"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        parts.append(rows.select(F.lit(name).alias("register_name"), F.col(key).alias("record_id"), F.col(value).alias("value"), F.concat(F.lit("facility " if name == "asrs" else "office "), place).alias("place"), F.lit(day_needed).alias("day_needed")))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    places = table(spark, sf, "field_offices").select(F.concat(F.lit("office "), "office_code").alias("place"), "tz_name")
+    places = places.unionByName(table(spark, sf, "airport_reference").select(F.concat(F.lit("facility "), "loc_id").alias("place"), "tz_name"))
+    out = timestamps.normalised(timestamps.with_zone(rows, "place", places, "place", "tz_name"), "value", "tz_of_row", day_needed=F.col("day_needed"), with_day=False)
+    return out.select("register_name", "record_id", "norm_text", "time_status")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import zoneinfo
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
@@ -34,15 +35,37 @@ def test_months(spark, value, want):
 
 
 def test_local_times_against_the_zone_database(spark):
+    """Every zone by every name, years 1 to 9999, most of them 1900 to 2100; times near changes among them."""
     rnd = random.Random(3)
+    zones = sorted(zoneinfo.available_timezones() - {"Factory", "localtime", "posixrules"})
+    _, _, _, known = ts._database()
+    changes = {name: [s for s, _, _ in spans[1:]] for name, spans in known}
+    assert sorted(changes) == zones
     rows = []
-    for i in range(600):
-        tz = rnd.choice([NY, CHI, HNL, "America/Anchorage", "America/Phoenix", "Europe/Paris"])
-        t = datetime(rnd.randint(1980, 2019), 1, 1) + timedelta(seconds=rnd.randrange(365 * 86400))
+    for i in range(len(zones) * 8):
+        tz = zones[i % len(zones)]
+        if i % 8 < 3 and changes[tz]:
+            t = datetime(1970, 1, 1) + timedelta(seconds=rnd.choice(changes[tz]) + rnd.randint(-7200, 7200))
+        else:
+            y = rnd.randint(1900, 2100) if i % 8 < 7 else rnd.choice([1, 1500, 1850, 2400, 5000, 9998])
+            t = datetime(y, 1, 1) + timedelta(seconds=rnd.randrange(365 * 86400))
         a = t.replace(tzinfo=ZoneInfo(tz), fold=0)  # of two hours the first; a skipped one with the offset before
-        rows.append((i, t.strftime("%Y-%m-%dT%H:%M:%S"), tz, a.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")))
+        rows.append((i, t.isoformat()[:19], tz, a.astimezone(timezone.utc).isoformat()[:19] + "Z"))
     df = spark.createDataFrame(rows, "id int, v string, tz string, want string")
-    assert ts.normalised(df, "v", "tz").filter("norm_text != want").count() == 0
+    wrong = ts.normalised(df, "v", "tz").filter("norm_text != want").select("v", "tz", "want", "norm_text", "time_status").collect()
+    assert wrong == []
+
+
+@pytest.mark.parametrize("value,tz,want,status", [("07/01/60 10:00", NY, "2060-07-01T14:00:00Z", "local"), ("07/01/1960 10:00", NY, "1960-07-01T14:00:00Z", "local"), ("07/01/2000 10:00", "UTC", "2000-07-01T10:00:00Z", "local"), ("07/01/2000 10:00", "US/Eastern", "2000-07-01T14:00:00Z", "local"), ("2000-01-01 10:00 Japan", NY, "2000-01-01T01:00:00Z", "local"), ("2000-01-01 10:00 Foo/Bar", NY, "INVALID", "invalid"), ("2000-01-01 10:00", "Foo/Bar", "INVALID", "unplaced")])
+def test_zones_and_years_without_limits(spark, value, tz, want, status):
+    r = ts.normalised(spark.createDataFrame([(value, tz)], "v string, tz string"), "v", "tz").first()
+    assert (r.norm_text, r.time_status) == (want, status)
+
+
+def test_day_of_a_moment_is_that_of_the_rows_zone(spark):
+    rows = [("2000-01-01 23:00Z", "Asia/Tokyo", "2000-01-02"), ("2000-01-01 03:00Z", NY, "1999-12-31"), ("2300-07-01 03:30Z", NY, "2300-06-30"), ("2000-01-01 23:00Z", "Foo/Bar", "2000-01-01"), ("2000-01-01 23:00Z", None, "2000-01-01"), ("2000-01-01", NY, "2000-01-01")]
+    got = ts.normalised(spark.createDataFrame(rows, "v string, tz string, want string"), "v", "tz").collect()
+    assert [(str(r.local_day), r.v) for r in got if str(r.local_day) != r.want] == []
 
 
 def test_documented_forms(spark):
