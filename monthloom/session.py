@@ -62,3 +62,15 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count that stops at the limit proves it small; else df as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
+
+
+#: Parts over which the rows of one key are spread.
+SALTS = 16
+
+
+def spread_lookup(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows left-joined to found, which has one row a key: broadcast if proven small, else each key's rows are spread over SALTS parts, so that a key that very many rows share isn't one task."""
+    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found), key, "left")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))  # from the row itself, so that a task run again gives the same
+    return salted.join(found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"], "left").drop("_salt")
