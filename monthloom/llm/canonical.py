@@ -1,8 +1,9 @@
 """Freely typed values mapped to a reference list by trees over a true edit metric.
 
-A Burkhard-Keller tree holds the forms of the reference entries; the triangle inequality prunes its branches, so that a query returns every form within its
-threshold without visiting most of the others. A list of up to MOST_ENTRIES entries is one tree and is broadcast; a longer one is cut into shards of that size, each
-answers for itself and the shards' winners are merged.
+Burkhard-Keller trees hold the forms of the reference entries (names, their consonants and beginnings, cities, codes); the triangle inequality prunes their branches, so that a query
+returns every form within its threshold without visiting most of the others. Each different typed form is searched once, many at a time: the distances of a node to all queries that reach it are
+computed together. Up to SHARD forms are one broadcast tree; longer lists are cut into shards that meet the queries in co-grouped tasks. Every form that any shard finds comes back, and the typed
+fields are decided once, over all of them, so that the answer doesn't depend on the shards.
 """
 
 from __future__ import annotations
@@ -10,21 +11,27 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settled
+from ..session import settled, small, spread_lookup
 
-#: Entries of a shard; what is broadcast never holds more.
-MOST_ENTRIES = 50_000
+#: Forms of one tree; what is broadcast never holds more.
+SHARD = 50_000
+#: Queries that meet a shard in one task.
+QUERIES = 100_000
 #: Answers that a worker remembers.
 REMEMBERED = 200_000
+#: So few queries at a node are compared one by one.
+FEW = 24
+#: How much better than the second the best entry must be.
+CLEAR = 0.25
 
 # The kinds of airfield, each with the ways to write it; then words that only say "airport".
 KINDS = {
@@ -103,19 +110,63 @@ class BKTree:
 
     def within(self, form: str, most: int) -> list[tuple[int, str, list[int]]]:
         """Every (distance, form, payloads) at most so far."""
-        out, todo = [], [self.root] if self.root else []
-        distance = FromForm(form).to
+        return [(d, f, p) for _, d, f, p in self.within_many([form], [most])]
+
+    def within_many(self, forms: list[str], most: list[int]) -> list[tuple[int, int, str, list[int]]]:
+        """Every (query, distance, form, payloads) with the distance at most that of the query."""
+        if self.root is None or not forms:
+            return []
+        far = np.array(most, np.int64)
+        size = np.array([len(f) for f in forms], np.int64)
+        order = np.argsort(size, kind="stable")
+        letters: dict[str, int] = {}
+        text = np.full((int(size.max()), len(forms)), 0, np.int32) if size.max() <= 64 else None
+        if text is not None:
+            for q, f in enumerate(forms):
+                for i, c in enumerate(f):
+                    text[i, q] = letters.setdefault(c, len(letters))
+        out, todo = [], [(self.root, order)]
         while todo:
-            node = todo.pop()
-            if not node[2] and abs(len(node[0]) - len(form)) > most:  # a leaf that its length rules out
-                continue
-            d = distance(node[0])
-            if d <= most:
-                out.append((d, node[0], node[1]))
-            todo += [child for k, child in node[2].items() if d - most <= k <= d + most]
+            node, sel = todo.pop()
+            if not node[2]:  # a leaf that its length rules out
+                sel = sel[np.abs(size[sel] - len(node[0])) <= far[sel]]
+                if not len(sel):
+                    continue
+            if len(sel) <= FEW or text is None or not 0 < len(node[0]) <= 64:
+                to = FromForm(node[0]).to
+                d = np.array([to(forms[q]) for q in sel.tolist()], np.int64)
+            else:
+                d = _distances(node[0], letters, text, size, sel)
+            near = d <= far[sel]
+            out += [(q, x, node[0], node[1]) for q, x in zip(sel[near].tolist(), d[near].tolist())]
+            for k, child in node[2].items():
+                on = sel[np.abs(d - k) <= far[sel]]
+                if len(on):
+                    todo.append((child, on))
         return out
 
 
+def _distances(form: str, letters: dict[str, int], text: np.ndarray, size: np.ndarray, sel: np.ndarray) -> np.ndarray:
+    """Levenshtein's distances of a form of up to 64 characters to the queries sel, ordered by length: the bit-parallel columns of all of them at once."""
+    masks = np.zeros(len(letters) + 1, np.uint64)
+    for i, c in enumerate(form):
+        if c in letters:
+            masks[letters[c]] |= np.uint64(1 << i)
+    one, top = np.uint64(1), np.uint64(1 << len(form) - 1)
+    n = size[sel]
+    up, down = np.full(len(sel), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(len(sel), np.uint64)
+    score = np.full(len(sel), len(form), np.int64)
+    for i in range(int(n[-1])):
+        s = int(np.searchsorted(n, i, side="right"))  # the shorter ones are done
+        m, u, w = masks[text[i, sel[s:]]], up[s:], down[s:]
+        d = (((m & u) + u) ^ u) | m | w
+        h, g = w | ~(d | u), u & d
+        score[s:] += ((h & top) != 0).astype(np.int64) - ((g & top) != 0)
+        h, g = h << one | one, g << one
+        up[s:], down[s:] = g | ~(d | h), h & d
+    return score
+
+
 def reach(n: int) -> int:
     """The distance within which a form of n characters may still be meant."""
     return 0 if n < 3 else 1 if n < 5 else 2 if n < 8 else 3 if n < 12 else 4
@@ -236,247 +287,226 @@ def _readings(words: list[str], rest: list[str]) -> list[Name]:
     return out
 
 
-class Gazetteer:
-    """A reference list of named places, each with a name, a city, a state and codes, and what typed fields mean by it."""
-
-    def __init__(self, entries: list[dict]) -> None:
-        self.ids = [e["id"] for e in entries]
-        self.kind: list[str | None] = []
-        self.core: list[str] = []
-        self.city, self.state = [], []
-        self.names, self.bones, self.cities = BKTree(), BKTree(), BKTree()
-        self.by_core, self.by_city, self.by_code = defaultdict(list), defaultdict(list), {}
-        self.states: dict[str, str] = {}
-        for i, e in enumerate(entries):
-            r = read_name(e["name"])
-            core, kind = (r[0].core, r[0].kind) if r else ("", None)
-            city = self.place(e["city"])
-            self.core.append(core)
-            self.kind.append(kind)
-            self.city.append(city)
-            self.state.append((e["state"] or "").lower())
-            self.states[(e["state"] or "").lower()] = (e["state"] or "").lower()
-            if e.get("full_state"):
-                self.states["".join(_words(e["full_state"]))] = (e["state"] or "").lower()
-            if core:
-                if core not in self.by_core:
-                    self.names.add(core, i)
-                    self.bones.add(_skeleton(core), i)
-                self.by_core[core].append(i)
-            if city:
-                if city not in self.by_city:
-                    self.cities.add(city, i)
-                self.by_city[city].append(i)
-            for c in e.get("codes", []):
-                if c:
-                    self.by_code.setdefault(c.lower(), i)
-        self.prefixes = defaultdict(set)
-        for form in self.by_core:
-            self.prefixes[form[:4]].add(form)
-        self.city_prefixes = defaultdict(set)
-        for form in self.by_city:
-            self.city_prefixes[form[:4]].add(form)
-        self._near_name = lru_cache(REMEMBERED)(self._near_name)
-        self._near_city = lru_cache(REMEMBERED)(self._near_city)
-
-    def place(self, text: str | None) -> str:
-        words = _words(text) if text else []
-        words = [BEGINNINGS.get(w, w) if i == 0 and len(words) > 1 else w for i, w in enumerate(words)]
-        joined = "".join(words)
-        return "" if joined in NO_VALUE else joined
-
-    def place_and_state(self, text: str | None) -> tuple[str, str]:
-        """A city with the state typed behind it, if any."""
-        words = _words(text) if text else []
-        for n in (2, 1):
-            if len(words) > n and (s := self.states.get("".join(words[-n:]))):
-                words = words[:-n]
-                words = [BEGINNINGS.get(w, w) if i == 0 and len(words) > 1 else w for i, w in enumerate(words)]
-                return "".join(words), s
-        return self.place(text), ""
-
-    def _near_name(self, core: str, bare: bool) -> list[tuple[int, str]]:
-        """(distance, core of entries), every one within reach, shortened and vowelless forms too."""
-        found: dict[str, int] = {}
-        if core in self.by_core:
-            return [(0, core)]
-        near = self.names.within(core, 2) if len(core) >= 8 else []
-        for d, form, _ in near or self.names.within(core, reach(len(core)) + 1):  # what is farther than an entry within 2 isn't meant
-            found[form] = d
-        if len(core) >= 4:
-            for form in self.prefixes.get(core[:4], ()):
-                if form.startswith(core) and form not in found:
-                    found[form] = 2
-        if bare:
-            bones = _skeleton(core)
-            for d, _, at in self.bones.within(bones, 0 if len(bones) < 5 else 1):
-                for form in {self.core[i] for i in at}:
-                    found[form] = min(found.get(form, 9), 1 + d)
-            found |= {form: 1 for form in self.by_core if _skeleton(form) == bones}
-        return [(d, form) for form, d in found.items()]
-
-    def _near_city(self, city: str) -> list[tuple[int, str]]:
-        if city in self.by_city:
-            return [(0, city)]
-        near = self.cities.within(city, 2) if len(city) >= 8 else []
-        found = {form: d for d, form, _ in near or self.cities.within(city, reach(len(city)))}
-        if len(city) >= 4:
-            for form in self.city_prefixes.get(city[:4], ()):
-                if form.startswith(city) and form not in found:
-                    found[form] = 2
-        return [(d, form) for form, d in found.items()]
-
-    def candidates(self, name: str | None, city: str | None, state: str | None) -> list[tuple[float, int]]:
-        """(penalty, entry) of the entries the three fields may denote; the least penalty is the best."""
-        st = self.states.get("".join(_words(state))) if state else None
-        readings = read_name(name)
-        place, inner = self.place_and_state(city)
-        swapped = [] if any(r.said for r in readings[:1]) else read_name(city)
-        if any(r.said and r.kind and self._near_name(r.core, r.bare) for r in swapped):
-            readings, (place, inner) = swapped, self.place_and_state(name)
-        st = st or inner
-        if readings and readings[0].rest:
-            p, s = self.place_and_state(" ".join(readings[0].rest))
-            place, st = place or p, st or s
-        cities = dict((form, d) for d, form in self._near_city(place)) if place else {}
-        out: dict[int, float] = {}
-        if readings:
-            whole = "".join(_words(name)) if name else ""
-            if (i := self.by_code.get(whole)) is not None:
-                return [(0.0, i)]
-            for r in readings:
-                for d, form in self._near_name(r.core, r.bare) if r.core else []:
-                    for i in self.by_core[form]:
-                        if r.kind and self.kind[i] != r.kind:
-                            continue
-                        near = self.city[i] in cities
-                        same = bool(st) and self.state[i] == st
-                        # a name off by more needs its place to agree; against a place that disagrees it must be nearly right
-                        clash = bool(place) and not near and not (same and len(form) >= 8)
-                        if d > (reach(len(form)) + 1 if near else 2 if same and len(form) >= 8 else 1 if clash or len(form) < 8 else 2):
-                            continue
-                        p = d + (0 if r.kind else 0.2) - (1.5 - 0.3 * cities[self.city[i]] if near else 0) - (1.0 if same else 0)
-                        out[i] = min(out.get(i, 99), p)
-        elif place and not (name and "".join(_words(name)) not in NO_VALUE):  # a name that isn't readable still names another place
-            for form, d in cities.items():
-                for i in self.by_city[form]:
-                    if d > (2 if st and self.state[i] == st and len(form) >= 6 else 1):
-                        continue
-                    out[i] = 10 + d - (1.0 if st and self.state[i] == st else 0)
-        return sorted((p, i) for i, p in out.items())
-
-    def resolve(self, name: str | None, city: str | None, state: str | None) -> tuple[object, float] | None:
-        """(entry id, penalty) of the one entry the fields denote, or None: no entry, or several equally."""
-        return decided([(p, self.ids[i]) for p, i in self.candidates(name, city, state)])
-
-
-def decided(found: list[tuple[float, object]]) -> tuple[object, float] | None:
-    """The best of the candidates unless another is as good."""
-    if not found or (len(found) > 1 and found[1][0] - found[0][0] < 0.25):
-        return None
-    return found[0][1], found[0][0]
-
-
-_BUILT: dict[str, Gazetteer] = {}
-
-
-def _built(token: str, sent) -> Gazetteer:
-    """The gazetteer of a broadcast list; a worker builds it once for all its tasks and keeps a few."""
-    if token not in _BUILT:
-        while len(_BUILT) >= 2:
-            _BUILT.pop(next(iter(_BUILT)))
-        _BUILT[token] = Gazetteer(sent.value)
-    return _BUILT[token]
-
-
-def _collected(reference: DataFrame, codes: list[str]) -> list[list[dict]]:
-    """The reference list in shards of MOST_ENTRIES at most, ordered by id."""
-    rows = reference.orderBy("id").toLocalIterator()
-    shards: list[list[dict]] = [[]]
-    for r in rows:
-        if len(shards[-1]) == MOST_ENTRIES:
-            shards.append([])
-        d = r.asDict()
-        d["codes"] = [d.get(c) for c in codes]
-        shards[-1].append(d)
-    return shards
+def place_form(words: list[str]) -> str:
+    """A place as one word; "" for no value."""
+    words = [BEGINNINGS.get(w, w) if i == 0 and len(words) > 1 else w for i, w in enumerate(words)]
+    joined = "".join(words)
+    return "" if joined in NO_VALUE else joined
+
+
+def entry_forms(reference: DataFrame, codes: list[str]) -> DataFrame:
+    """(id, core, bones, kind, city, state, states, codes): what an entry of the list is searched by. states: the ways to write its state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                readings = read_name(r["name"])
+                core, kind = (readings[0].core, readings[0].kind) if readings else ("", None)
+                state = (r["state"] or "").lower()
+                ways = {state, "".join(_words(r["full_state"])) if r.get("full_state") else ""} - {""}
+                rows.append((core, _skeleton(core), kind, place_form(_words(r["city"] or "")), state, sorted(ways), sorted({c.lower() for k in codes if (c := r.get(k))})))
+            cols = list(zip(*rows)) or [()] * 7
+            kinds = [pa.string()] * 5 + [pa.list_(pa.string())] * 2
+            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], names=["id", "core", "bones", "kind", "city", "state", "states", "codes"])
+
+    wanted = [c for c in ("name", "city", "state", "full_state", *codes) if c in reference.columns]
+    schema = f"id {reference.schema['id'].dataType.simpleString()}, core string, bones string, kind string, city string, state string, states array<string>, codes array<string>"
+    return reference.filter("id is not null").select("id", *[F.col(c).cast("string").alias(c) for c in wanted]).mapInArrow(run, schema)
+
+
+def _forms(entries: DataFrame) -> DataFrame:
+    """(role, form, target): the forms of the trees and the names, cities and codes that they stand for. Roles: name, bones, head (a name cut off), city, cityhead, code."""
+    row = lambda role, form, target: F.struct(F.lit(role).alias("role"), form.alias("form"), F.col(target).alias("target"))
+    heads = lambda role, c: F.when(F.length(c) > 4, F.transform(F.sequence(F.lit(4), F.greatest(F.length(c) - 1, F.lit(4))), lambda n: row(role, F.substring(F.col(c), F.lit(1), n), c))).otherwise(F.array().cast("array<struct<role:string,form:string,target:string>>"))
+    every = F.concat(F.array(row("name", F.col("core"), "core"), row("bones", F.col("bones"), "core"), row("city", F.col("city"), "city")), heads("head", "core"), heads("cityhead", "city"), F.transform("codes", lambda c: F.struct(F.lit("code").alias("role"), c.alias("form"), c.alias("target"))))
+    return entries.select(F.explode(every).alias("f")).select("f.*").filter("form != '' and target != ''").distinct()
+
+
+_READING = "array<struct<core:string,kind:string,bare:boolean,said:boolean>>"
+_PLACE = "struct<whole:string,key1:string,form1:string,key2:string,form2:string>"
+
+
+def _read(triples: DataFrame) -> DataFrame:
+    """Typed triples with what their fields may say: plain readings of the name, those of the city if it may hold the name instead, and the places, each with and without a state behind it."""
+
+    def place(words: list[str]) -> dict:
+        p = {"whole": place_form(words), "key1": None, "form1": None, "key2": None, "form2": None}
+        for n in (1, 2):
+            if len(words) > n:
+                left = words[:-n]
+                left = [BEGINNINGS.get(w, w) if i == 0 and len(left) > 1 else w for i, w in enumerate(left)]
+                p[f"key{n}"], p[f"form{n}"] = "".join(words[-n:]), "".join(left)
+        return p
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        struct = pa.struct([("core", pa.string()), ("kind", pa.string()), ("bare", pa.bool_()), ("said", pa.bool_())])
+        where = pa.struct([(k, pa.string()) for k in ("whole", "key1", "form1", "key2", "form2")])
+        for b in batches:
+            out: list[list] = [[] for _ in range(9)]
+            for name, city, state in zip(*(b.column(c).to_pylist() for c in ("name", "city", "state"))):
+                plain = read_name(name)
+                turned = [] if any(r.said for r in plain[:1]) else read_name(city)
+                nw, cw = _words(name or ""), _words(city or "")
+                whole = "".join(nw)
+                rest = lambda rs: rs[0].rest if rs else []
+                reading = lambda rs: [{"core": r.core, "kind": r.kind, "bare": r.bare, "said": r.said} for r in rs if r.core]
+                for o, v in zip(out, (reading(plain), reading(turned), place(cw), place(nw), place(rest(plain)), place(rest(turned)), "".join(_words(state or "")), whole, whole not in NO_VALUE)):
+                    o.append(v)
+            kinds = [pa.list_(struct), pa.list_(struct), where, where, where, where, pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([b.column("tid"), *[pa.array(o, k) for o, k in zip(out, kinds)]], names=["tid", "plain", "turned", "p0", "p1", "p2", "p3", "skey", "whole", "named"])
+
+    return triples.mapInArrow(run, f"tid long, plain {_READING}, turned {_READING}, p0 {_PLACE}, p1 {_PLACE}, p2 {_PLACE}, p3 {_PLACE}, skey string, whole string, named boolean")
+
+
+def _placed(read: DataFrame, entries: DataFrame) -> DataFrame:
+    """(tid, place0, state0, place1, state1): the place and the state that a triple's fields say, read plainly and with name and city turned."""
+    ways = small(entries.select("state", F.explode("states").alias("way")).groupBy("way").agg(F.min("state").alias("known")))
+    key = lambda slot, n, k, form: F.struct(F.lit(slot).alias("slot"), F.lit(n).alias("n"), k.alias("key"), form.alias("form"))
+    keys = [key(i, n, F.col(f"p{i}.key{n}") if n else F.lit(None).cast("string"), F.col(f"p{i}.form{n}") if n else F.col(f"p{i}.whole")) for i in range(4) for n in (0, 1, 2)]
+    rows = read.select("tid", F.explode(F.array(*keys, key(4, 0, F.nullif("skey", F.lit("")), F.lit("")))).alias("k")).select("tid", "k.*").filter("form is not null")
+    rows = rows.join(ways, F.col("key") == F.col("way"), "left").filter("n = 0 or known is not null")
+    got = rows.groupBy("tid").agg(*[F.max(F.when(F.col("slot") == i, F.struct("n", "form", "known"))).alias(f"s{i}") for i in range(5)])
+    said = lambda c: F.nullif(c, F.lit(""))
+    out = ["tid"]
+    for v, (own, rest) in enumerate(((0, 2), (1, 3))):
+        out += [F.coalesce(said(F.col(f"s{own}.form")), said(F.col(f"s{rest}.form"))).alias(f"place{v}"), F.coalesce("s4.known", f"s{own}.known", f"s{rest}.known").alias(f"state{v}")]
+    return got.select(*out)
+
+
+_BUILT: dict[str, dict[str, BKTree]] = {}
+
+
+def _trees(roles: list[str], forms: list[str]) -> dict[str, BKTree]:
+    out: dict[str, BKTree] = {}
+    for r, f in zip(roles, forms):
+        out.setdefault(r, BKTree()).add(f, 0)
+    return out
 
 
-def map_to_entries(df: DataFrame, name: str, city: str, state: str, reference: DataFrame, codes: list[str] = [], keep: list[str] | None = None) -> DataFrame:
-    """df (the columns in keep, all by default) with entry_id, the reference entry that the three typed fields denote, or null for none or no single one.
-
-    reference: columns id, name, city, state, full_state and the named code columns. Null and empty fields say nothing; repeated rows give the same answer; rows are answered where they lie,
-    without a shuffle, so that frequent values cost no skew. An empty list leaves every row without entry. A column entry_id of df is replaced.
-    """
-    keep = [c for c in (keep or df.columns) if c != "entry_id"]
-    id_type = reference.schema["id"].dataType
-    shards = _collected(reference, codes)
-    ctx = df.sparkSession.sparkContext
-
-    def answers(entries: list[dict], names: list[str], best_two: bool):
-        sent, token = ctx.broadcast(entries), uuid.uuid4().hex
+def _answered(trees: dict[str, BKTree], role: list[str], form: list[str], most: list[int]) -> pa.RecordBatch:
+    """(role, query, form, d) of all queries; those of one role and about one length together, so that a long text doesn't slow the others."""
+    groups: dict[tuple[str, bool], list[int]] = {}
+    for i, (r, f) in enumerate(zip(role, form)):
+        groups.setdefault((r, len(f) > 64), []).append(i)
+    found: list[tuple[int, int, str]] = []
+    for (r, _), at in groups.items():
+        if r in trees:
+            found += [(at[q], d, f) for q, d, f, _ in trees[r].within_many([form[i] for i in at], [most[i] for i in at])]
+    cols = list(zip(*found)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array([role[i] for i in cols[0]], pa.string()), pa.array([form[i] for i in cols[0]], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[1], pa.int32())], names=["role", "query", "form", "d"])
+
+
+def search(queries: DataFrame, forms: DataFrame) -> DataFrame:
+    """(role, query, form, d): for each query (role, query, most) every form (role, form) of its role at a distance of most at most."""
+    forms, queries = settled(forms.select("role", "form").distinct()), queries.select("role", "query", "most").distinct()
+    schema, ctx = "role string, query string, form string, d int", forms.sparkSession.sparkContext
+    n = forms.count()
+    parts = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n <= SHARD:
+        rows = forms.collect()  # at most SHARD
+        sent, token = ctx.broadcast(([r["role"] for r in rows], [r["form"] for r in rows])), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g = _built(token, sent)
-            memo: dict[tuple, object] = {}
+            if token not in _BUILT:  # once for all tasks of a worker
+                while len(_BUILT) >= 2:
+                    _BUILT.pop(next(iter(_BUILT)))
+                _BUILT[token] = _trees(*sent.value)
             for b in batches:
-                got = []
-                for t in zip(*(b.column(i).to_pylist() for i in (0, 1, 2))):
-                    if t not in memo:
-                        if len(memo) > REMEMBERED:
-                            memo.clear()
-                        if best_two:
-                            memo[t] = [{"p": p, "id": g.ids[i]} for p, i in g.candidates(*t)[:2]]
-                        else:
-                            r = g.resolve(*t)
-                            memo[t] = r[0] if r else None
-                    got.append(memo[t])
-                kind = pa.list_(pa.struct([("p", pa.float64()), ("id", _arrow(id_type))])) if best_two else _arrow(id_type)
-                yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.array(got, kind)], names=[*names, "entry_id"])
-
-        return run
-
-    base = df.select(F.col(name).cast("string").alias("_name"), F.col(city).cast("string").alias("_city"), F.col(state).cast("string").alias("_state"), *keep)
-    fields = [df.schema[c] for c in keep]
-    if len(shards) == 1:
-        return base.mapInArrow(answers(shards[0], keep, False), T.StructType([*fields, T.StructField("entry_id", id_type)]))
-    # each shard names its two best; the best of all wins unless another is as good
-    pair = T.ArrayType(T.StructType([T.StructField("p", T.DoubleType()), T.StructField("id", id_type)]))
-    rows, named = settled(base.withColumn("_row", F.monotonically_increasing_id())), [*keep, "_row"]  # every shard must see the same row ids
-    schema = T.StructType([*fields, T.StructField("_row", T.LongType()), T.StructField("entry_id", pair)])
-    parts = [rows.mapInArrow(answers(s, named, True), schema) for s in shards]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("_row", *keep).agg(F.slice(F.sort_array(F.flatten(F.collect_list("entry_id"))), 1, 2).alias("two"))
-    clear = (F.size("two") > 0) & ((F.size("two") < 2) | (F.try_element_at("two", F.lit(2))["p"] - F.try_element_at("two", F.lit(1))["p"] >= 0.25))
-    return merged.select(*keep, F.when(clear, F.try_element_at("two", F.lit(1))["id"]).alias("entry_id"))
-
-
-def _arrow(kind: T.DataType) -> pa.DataType:
-    return pa.int64() if isinstance(kind, T.LongType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.string()
+                yield _answered(_BUILT[token], *(b.column(c).to_pylist() for c in ("role", "query", "most")))
+
+        return queries.repartition(parts, "query").mapInArrow(run, schema)
+    queries = settled(queries)
+    shards, slices = -(-n // SHARD), max(-(-queries.count() // QUERIES), 1)
+    left = queries.withColumn("slice", F.pmod(F.xxhash64("query", "role"), F.lit(slices)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = forms.withColumn("shard", F.pmod(F.xxhash64("form", "role"), F.lit(shards)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+    def meet(q: pa.Table, f: pa.Table) -> pa.Table:
+        trees = _trees(f.column("role").to_pylist(), f.column("form").to_pylist())
+        return pa.Table.from_batches([_answered(trees, *(q.column(c).to_pylist() for c in ("role", "query", "most")))])
+
+    return left.groupBy("shard", "slice").cogroup(right.groupBy("shard", "slice")).applyInArrow(meet, schema)
+
+
+def _reach(n: Column) -> Column:
+    return F.when(n < 3, 0).when(n < 5, 1).when(n < 8, 2).when(n < 12, 3).otherwise(4)
+
+
+def _queries(readings: DataFrame, placed: DataFrame, read: DataFrame) -> DataFrame:
+    """(role, query, most) of all forms that the triples' fields may mean."""
+    row = lambda role, form, most: F.struct(F.lit(role).alias("role"), form.alias("query"), most.cast("int").alias("most"))
+    core, zero = F.col("core"), F.lit(0)
+    bones = F.regexp_replace(core, "[aeiou]", "")
+    named = F.array(row("name", core, _reach(F.length(core)) + 1), F.when(F.length(core) >= 4, row("head", core, zero)), F.when(F.col("bare"), row("bones", bones, F.when(F.length(bones) < 5, 0).otherwise(1))))
+    place = lambda c: F.array(row("city", F.col(c), _reach(F.length(c))), F.when(F.length(c) >= 4, row("cityhead", F.col(c), zero)))
+    one = readings.select(F.explode(F.array_compact(named)).alias("q"))
+    two = placed.select(F.explode(F.array_compact(F.concat(place("place0"), place("place1")))).alias("q"))
+    three = read.filter("whole != ''").select(row("code", F.col("whole"), zero).alias("q"))
+    return one.unionByName(two).unionByName(three).select("q.*").filter("query != ''").distinct()
+
+
+def resolved(triples: DataFrame, reference: DataFrame, codes: list[str] = []) -> DataFrame:
+    """(tid, entry_id): the entry that each of the triples (tid, name, city, state) denotes; triples that denote none, or several equally, are left out."""
+    entries = settled(entry_forms(reference, codes))
+    read = settled(_read(triples))
+    placed = settled(_placed(read, entries))
+    forms = settled(_forms(entries))
+    readings = settled(read.select("tid", F.explode(F.concat(F.transform("plain", lambda r: F.struct(F.lit(0).alias("v"), r["core"].alias("core"), r["kind"].alias("kind"), r["bare"].alias("bare"), r["said"].alias("said"))), F.transform("turned", lambda r: F.struct(F.lit(1).alias("v"), r["core"].alias("core"), r["kind"].alias("kind"), r["bare"].alias("bare"), r["said"].alias("said"))))).alias("r")).select("tid", "r.*"))
+    hits = search(_queries(readings, placed, read), forms).join(small(forms), ["role", "form"])
+    hits = settled(hits.select("role", "query", "target", "d", F.length("form").alias("n_form")))
+    # names: the distance of vowelless names counts one more, that of a name cut off is two
+    role = F.col("role")
+    cores = hits.filter(role.isin("name", "bones", "head")).select("role", "query", "target", F.when(role == "bones", F.col("d") + 1).when(role == "head", 2).otherwise(F.col("d")).alias("d"))
+    bones = F.regexp_replace("core", "[aeiou]", "")
+    asked = readings.select("*", F.explode(F.array_compact(F.array(F.struct(F.lit("name").alias("role"), F.col("core").alias("query")), F.struct(F.lit("head").alias("role"), F.col("core").alias("query")), F.when(F.col("bare"), F.struct(F.lit("bones").alias("role"), bones.alias("query")))))).alias("q")).select("tid", "v", "core", "kind", "said", "q.*")
+    names = asked.join(cores, ["role", "query"]).groupBy("tid", "v", "core", "kind", "said", "target").agg(F.min("d").alias("d"))
+    names = settled(names)
+    # the fields are turned if the city reads as the name of a known place with its kind
+    turned = names.filter("v = 1 and said and kind is not null").select("tid").distinct().withColumn("turn", F.lit(1))
+    way = settled(read.join(placed, "tid").join(turned, "tid", "left").select("tid", "named", "whole", (F.size("plain") > 0).alias("n0"), (F.size("turned") > 0).alias("n1"), F.coalesce("turn", F.lit(0)).alias("v"), F.when(F.col("turn") == 1, F.col("place1")).otherwise(F.col("place0")).alias("place"), F.when(F.col("turn") == 1, F.col("state1")).otherwise(F.col("state0")).alias("st")))
+    near = hits.filter(role.isin("city", "cityhead")).groupBy(F.col("query").alias("place"), F.col("target").alias("city")).agg(F.min(F.when(role == "cityhead", 2).otherwise(F.col("d"))).alias("dc"))
+    listed = entries.select(F.col("id"), F.col("core").alias("target"), F.col("kind").alias("e_kind"), "city", "state").filter("target != ''")
+    c = names.join(way, ["tid", "v"]).join(listed, "target").filter("kind is null or kind <=> e_kind")
+    c = c.join(near, ["place", "city"], "left")
+    n, d, here, same = F.length("target"), F.col("d"), F.col("dc").isNotNull(), F.coalesce(F.col("state") == F.col("st"), F.lit(False))
+    # a name off by more needs its place to agree; against a place that disagrees it must be nearly right
+    clash = F.col("place").isNotNull() & ~here & ~(same & (n >= 8))
+    most = F.when(here, _reach(n) + 1).when(same & (n >= 8), 2).when(clash | (n < 8), 1).otherwise(2)
+    penalty = d + F.when(F.col("kind").isNull(), 0.2).otherwise(0.0) - F.when(here, 1.5 - 0.3 * F.col("dc")).otherwise(0.0) - F.when(same, 1.0).otherwise(0.0)
+    by_name = c.filter(d <= most).select("tid", "id", penalty.cast("double").alias("p"))
+    # a city alone, where no name is given; a name that isn't readable still names another place
+    alone = way.filter("not named and place is not null and not (v = 0 and n0 or v = 1 and n1)").join(near, "place").join(entries.select("id", "city", "state"), "city")
+    by_city = alone.filter(F.col("dc") <= F.when(same & (F.length("city") >= 6), 2).otherwise(1)).select("tid", "id", (10 + F.col("dc") - F.when(same, 1.0).otherwise(0.0)).cast("double").alias("p"))
+    # a code says it all
+    coded = entries.select("id", F.explode("codes").alias("code")).groupBy("code").agg(F.min("id").alias("id"))
+    known = hits.filter(role == "code").select(F.col("query").alias("whole"), F.col("target").alias("code")).join(coded, "code")
+    by_code = way.filter("v = 0 and n0 or v = 1 and n1").join(known, "whole").select("tid", "id", F.lit(-1000.0).alias("p"))
+    every = by_name.unionByName(by_city).unionByName(by_code).groupBy("tid", "id").agg(F.min("p").alias("p"))
+    two = every.withColumn("place", F.row_number().over(Window.partitionBy("tid").orderBy("p", "id"))).filter("place <= 2")
+    best = two.groupBy("tid").agg(F.min("p").alias("p"), F.min(F.when(F.col("place") == 1, F.col("id"))).alias("entry_id"), F.max("p").alias("next"), F.count(F.lit(1)).alias("n"))
+    return best.filter((F.col("n") == 1) | (F.col("next") - F.col("p") >= CLEAR)).select("tid", "entry_id")
 
 
-def closest(values: DataFrame, value: str, forms: DataFrame, form: str) -> DataFrame:
-    """(value, form, distance): for each distinct value every form of the list within reach, in lower case; unmatched values come out with nulls.
+def map_to_entries(df: DataFrame, name: str, city: str, state: str, reference: DataFrame, codes: list[str] = [], keep: list[str] | None = None) -> DataFrame:
+    """df (the columns in keep, all by default) with entry_id, the reference entry that the three typed fields denote, or null for none or no single one.
 
-    Null values are left out. Long lists are answered shard by shard; the union of the shards' answers is the whole answer.
+    reference: columns id, name, city, state, full_state and the named code columns; entries without id are left out. Each different triple is decided once and joined back to its rows, spread where many rows share it. Null and
+    empty fields say nothing; repeated rows give the same answer. An empty list leaves every row without entry. A column entry_id of df is replaced.
     """
-    distinct = values.filter(F.col(value).isNotNull()).select(F.col(value).alias("value")).distinct()
-    shards = _collected(forms.select(F.col(form).alias("id")).distinct(), [])
-    out = None
-    for s in shards:
-        sent = values.sparkSession.sparkContext.broadcast([e["id"] for e in s])
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tree = BKTree()
-            for i, f in enumerate(sent.value):
-                tree.add(f.lower(), i)
-            for b in batches:
-                rows = [(v, sent.value[i], d) for v in b.column(0).to_pylist() for d, _, at in tree.within(v.lower(), reach(len(v))) for i in at]
-                columns = list(zip(*rows)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], names=["value", "form", "distance"])
+    keep = [c for c in (keep or df.columns) if c != "entry_id"]
+    typed = {k: F.col(c).cast("string") for k, c in (("name", name), ("city", city), ("state", state))}
+    # a null and an empty text aren't the same
+    tid = F.xxhash64(*[x for c in typed.values() for x in (c, c.isNull())])
+    rows = df.select(*keep, tid.alias("_tid"), *[c.alias(f"_{k}") for k, c in typed.items()])
+    triples = settled(rows.select(F.col("_tid").alias("tid"), *[F.col(f"_{k}").alias(k) for k in typed]).distinct())
+    found = settled(resolved(triples, reference, codes).withColumnRenamed("tid", "_tid"))
+    return spread_lookup(rows.select(*keep, "_tid"), found, "_tid").drop("_tid")
 
-        part = distinct.mapInArrow(run, "value string, form string, distance int")
-        out = part if out is None else out.unionByName(part)
-    return distinct.join(out, "value", "left")
+
+def closest(values: DataFrame, value: str, forms: DataFrame, form: str) -> DataFrame:
+    """(value, form, distance): for each distinct value every form of the list within reach, in lower case; unmatched values come out with nulls. Null values are left out."""
+    distinct = values.filter(F.col(value).isNotNull()).select(F.col(value).alias("value"), F.lower(value).alias("query")).distinct()
+    listed = forms.filter(F.col(form).isNotNull()).select(F.col(form).alias("as_listed"), F.lower(form).alias("form")).distinct()
+    asked = distinct.select(F.lit("form").alias("role"), "query", _reach(F.length("query")).cast("int").alias("most"))
+    hits = search(asked, listed.select(F.lit("form").alias("role"), "form")).join(listed, "form").select("query", F.col("as_listed").alias("form"), F.col("d").alias("distance"))
+    return distinct.join(hits, "query", "left").select("value", "form", "distance")

@@ -20,16 +20,16 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = latest(table(spark, sf, "faa_incidents"), "incident_id", "received_ts", ["eventairport_conv", "eventcity", "eventstate"])
     rows = rows.filter("coalesce(eventairport_conv, eventcity, eventstate) is not null")
     listed = table(spark, sf, "airport_reference").select(F.col("airport_name").alias("eventairport_conv"), F.col("city").alias("eventcity"), F.col("state_code").alias("eventstate"))
-    rows = rows.join(small(listed, canonical.MOST_ENTRIES), ["eventairport_conv", "eventcity", "eventstate"], "left_anti")
+    rows = rows.join(small(listed), ["eventairport_conv", "eventcity", "eventstate"], "left_anti")
     got = canonical.map_to_entries(rows, "eventairport_conv", "eventcity", "eventstate", airports(spark, sf), ["loc_id", "icao"], keep=["incident_id"])
     return got.select("incident_id", F.coalesce("entry_id", F.lit("NONE")).alias("loc_id"))
 
 
 def p1_unmatched_values(spark: SparkSession, sf: str) -> DataFrame:
     """How often each typed airport came out as unlisted."""
-    rows = table(spark, sf, "faa_incidents").select("incident_id", "eventairport_conv", "eventcity", "eventstate")
-    got = canonical.map_to_entries(rows, "eventairport_conv", "eventcity", "eventstate", airports(spark, sf), ["loc_id", "icao"], keep=["incident_id", "eventairport_conv"])
-    return got.filter("entry_id is null").groupBy("eventairport_conv").agg(F.countDistinct("incident_id").alias("n_records"))
+    rows = latest(table(spark, sf, "faa_incidents"), "incident_id", "received_ts", ["eventairport_conv", "eventcity", "eventstate"])
+    got = canonical.map_to_entries(rows, "eventairport_conv", "eventcity", "eventstate", airports(spark, sf), ["loc_id", "icao"], keep=["eventairport_conv"])
+    return got.filter("entry_id is null").groupBy("eventairport_conv").agg(F.count(F.lit(1)).alias("n_records"))
 
 
 # Short forms of flight phases.
@@ -63,9 +63,9 @@ def _pair_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     b = b.withColumns({"city": F.trim(F.try_element_at(where, F.lit(1))), "state": F.trim(F.try_element_at(where, F.lit(2)))})
     b = canonical.map_to_entries(b, "airport_name", "city", "state", ref, ["loc_id", "icao"], keep=["id", "local_day", "airport_code", "latitude", "longitude", *cols])
     codes = ref.select("loc_id", F.explode(F.array("loc_id", "icao")).alias("_code")).groupBy("_code").agg(F.min("loc_id").alias("loc_id"))
-    b = b.withColumn("_code", F.upper(F.trim("airport_code"))).join(small(codes, canonical.MOST_ENTRIES), "_code", "left")
+    b = b.withColumn("_code", F.upper(F.trim("airport_code"))).join(small(codes), "_code", "left")
     b = b.withColumn("loc", F.coalesce("loc_id", "entry_id")).drop("loc_id")
-    places = small(ref.select(F.col("loc_id").alias("loc"), F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon"), F.col("state").alias("state_of")), canonical.MOST_ENTRIES)
+    places = small(ref.select(F.col("loc_id").alias("loc"), F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon"), F.col("state").alias("state_of")))
     a, b = a.join(places, "loc", "left"), b.join(places, "loc", "left")
     a = _attributes(a).withColumns({"lat": F.col("ref_lat"), "lon": F.col("ref_lon")})
     b = _attributes(b).withColumns({"lat": F.coalesce(F.trim("latitude").try_cast("double"), "ref_lat"), "lon": F.coalesce(F.trim("longitude").try_cast("double"), "ref_lon")})
