@@ -1,8 +1,8 @@
 """Records of two tables matched without a common key: blocking in several passes, agreement levels, probabilities by expectation-maximisation.
 
 Candidate pairs come from an equi-join on the prints of several attributes each, pass by pass. Their attributes are compared to levels, and equal
-level patterns are counted; their number is bounded by the levels. How often non-matches show each level is counted on random pairs, a few for every record;
-expectation-maximisation over the candidates' patterns estimates how often matches show it, and the share of matches among all pairs of the two tables. The
+level patterns are counted; their number is bounded by the levels. Expectation-maximisation estimates how often matches and non-matches show each level, and the share of
+matches among all pairs of the two tables. All pairs are the candidates, every one of them, and the others, which count as non-matches; random pairs, a few for every record, stand for them. The
 posterior of a pair's pattern is its confidence. Each record keeps at most one partner.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import settled, spread_lookup
 
 #: Highest level of each comparison; level 0 is disagreement, -1 means that a side says nothing.
 LEVELS = {"day": 2, "loc": 2, "tail": 3, "model": 2, "phase": 1, "persons": 1, "office": 2}
@@ -25,6 +25,8 @@ ROUNDS = 200
 DRAWS = 2
 #: So few pairs are settled on the driver.
 FINISH = 20_000
+#: Records of one table with the same key that one task of the candidates' join takes.
+HOT = 2_000
 
 
 def _compared(a: str = "a", b: str = "b") -> dict[str, Column]:
@@ -74,19 +76,37 @@ def _block_keys(df: DataFrame, out: str, shifts: tuple[int, ...]) -> DataFrame:
     return df.select(F.explode(F.array_compact(F.array(*prints))).alias("key"), F.col("id").alias(out))
 
 
+def _split(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """a and b (key, id each) with what they are to be joined by: keys that more than HOT records of a table share are cut into parts on that side, and the other side's records go to each part."""
+    counts = lambda df, n: df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias(n)).filter(F.col(n) > 1)
+    hot = settled(counts(a, "pa").join(counts(b, "pb"), "key", "full").select("key", F.coalesce("pa", F.lit(1)).alias("pa"), F.coalesce("pb", F.lit(1)).alias("pb")))
+    if hot.limit(1).count() == 0:
+        return a, b, ["key"]
+
+    def parted(df: DataFrame, key: str, own: str, mine: str, other: str, theirs: str) -> DataFrame:
+        d = spread_lookup(df, hot, "key")
+        d = d.withColumn(mine, F.pmod(F.xxhash64(key), F.coalesce(own, F.lit(1))).cast("int"))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(theirs, F.lit(1)) - 1))).drop("pa", "pb")
+
+    return parted(a, "a_id", "pa", "at_a", "at_b", "pb"), parted(b, "b_id", "pb", "at_b", "at_a", "pa"), ["key", "at_a", "at_b"]
+
+
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_id, b_id, levels): each candidate pair once. Only prints and ids are shuffled to find the pairs; two prints that meet by chance add a candidate and lose none."""
-    pairs = _block_keys(a, "a_id", (0,)).join(_block_keys(b, "b_id", (-1, 0, 1)), "key").select("a_id", "b_id").distinct()
+    """(a_id, b_id, levels): each candidate pair once. Only prints and ids are shuffled to find the pairs; two prints that meet by chance add a candidate and lose none. A block of one key is split
+    over tasks; its pairs are all compared, since the records of a block differ in what isn't in its key."""
+    left, right, on = _split(settled(_block_keys(a, "a_id", (0,))), settled(_block_keys(b, "b_id", (-1, 0, 1))))
+    pairs = left.join(right, on).select("a_id", "b_id").distinct()
     both = pairs.join(a.alias("a"), F.col("a_id") == F.col("a.id")).join(b.alias("b"), F.col("b_id") == F.col("b.id"))
     return both.select("a_id", "b_id", *[c.cast("int").alias(k) for k, c in _compared().items()])
 
 
-def random_levels(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Level patterns of random pairs, about DRAWS for each record of the smaller table: records meet where their hashes fall into one of as many places as the larger has records."""
+def random_levels(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Level patterns of random pairs that are no candidates, about DRAWS for each record of the smaller table: records meet where their hashes fall into one of as many places as the larger has records."""
     places = max(a.count(), b.count(), 1)
     draw = lambda df: df.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("_place", F.pmod(F.xxhash64("id", F.col("_draw") + (F.lit(0) if df is a else F.lit(1000))), F.lit(places)))
     left, right = draw(a).alias("a"), draw(b).alias("b")
-    return left.join(right, (F.col("a._draw") == F.col("b._draw")) & (F.col("a._place") == F.col("b._place"))).select(*[c.cast("int").alias(k) for k, c in _compared().items()])
+    met = left.join(right, (F.col("a._draw") == F.col("b._draw")) & (F.col("a._place") == F.col("b._place"))).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), *[c.cast("int").alias(k) for k, c in _compared().items()])
+    return met.join(pairs.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
 
 
 def _patterns(levels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +125,16 @@ def shares(patterns: np.ndarray, counts: np.ndarray, tops: list[int], prior: flo
     return out
 
 
-def estimated(patterns: np.ndarray, counts: np.ndarray, tops: list[int], u: list[np.ndarray], all_pairs: float) -> tuple[np.ndarray, float, list[np.ndarray]]:
-    """(posterior of each pattern, share of matches among all pairs, levels of matches) by expectation-maximisation; -1 levels say nothing.
+def estimated(patterns: np.ndarray, counts: np.ndarray, tops: list[int], other: tuple[np.ndarray, np.ndarray], all_pairs: float) -> tuple[np.ndarray, float, list[np.ndarray], list[np.ndarray]]:
+    """(posterior of each pattern, share of matches among all pairs, levels of matches, levels of non-matches) by expectation-maximisation; -1 levels say nothing.
 
-    patterns and counts are those of the candidates, u the levels of non-matches, all_pairs the number of pairs the candidates were picked from.
+    patterns and counts are those of the candidates, other those of random pairs, which stand for all pairs that are no candidates. Levels that random pairs hardly ever show, as the same tail, are
+    so learnt from the candidates that are no matches, which hold nearly all such pairs, and not from the number of draws.
     """
     m = [np.concatenate([[0.05], 0.95 * np.arange(1, t + 1) / (t * (t + 1) / 2)]) for t in tops]
+    weight = max(all_pairs - counts.sum(), 1.0) / max(other[1].sum(), 1.0)
+    every = np.concatenate([patterns, other[0]])
+    u = shares(*other, tops)
     share = min(0.5, 0.5 * counts.sum() / all_pairs)
     post = np.zeros(len(counts))
     for _ in range(ROUNDS):
@@ -125,7 +149,8 @@ def estimated(patterns: np.ndarray, counts: np.ndarray, tops: list[int], u: list
             break
         share = float(np.clip((post * counts).sum() / all_pairs, 1e-15, 0.5))
         m = shares(patterns, post * counts, tops, 0.05)
-    return post, share, m
+        u = shares(every, np.concatenate([(1 - post) * counts, weight * other[1]]), tops)
+    return post, share, m, u
 
 
 def scored(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -133,10 +158,9 @@ def scored(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     pat, counts = _patterns(pairs)
     if not len(pat):
         return pairs.withColumn("confidence", F.lit(0.0))
-    tops = list(LEVELS.values())
-    post, *_ = estimated(pat, counts, tops, shares(*_patterns(random_levels(a, b)), tops), float(max(a.count(), 1)) * max(b.count(), 1))
+    post, *_ = estimated(pat, counts, list(LEVELS.values()), _patterns(random_levels(a, b, pairs)), float(max(a.count(), 1)) * max(b.count(), 1))
     known = pairs.sparkSession.createDataFrame([(*map(int, p), float(c)) for p, c in zip(pat, post)], ", ".join(f"{c} int" for c in LEVELS) + ", confidence double")
-    return pairs.join(F.broadcast(known), list(LEVELS))
+    return pairs.join(F.broadcast(known), list(LEVELS))  # one row a pattern
 
 
 def one_to_one(pairs: DataFrame, finish: int = FINISH) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import settled, small
 from ..sources.tables import table
 from ..operators.timestamps import latest, normalised, with_zone
 from . import canonical, leakage, linkage, lookalike, packing, termfreq
@@ -51,26 +53,26 @@ def _attributes(rows: DataFrame) -> DataFrame:
 
 
 def _pair_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Both registers in the columns that linkage compares; their times and places are read in one go."""
     ref, offices = airports(spark, sf), table(spark, sf, "field_offices")
     cols = ["acft_model", "tail_mark", "flight_phase", "persons_aboard", "office_code"]
     a = latest(table(spark, sf, "faa_incidents"), "incident_id", "received_ts", ["localeventdate", "eventairport_conv", "eventcity", "eventstate", "tracon_code", *cols])
-    a = normalised(with_zone(a, "office_code", offices, "office_code", "tz_name"), "localeventdate", "tz_of_row").withColumnRenamed("incident_id", "id")
-    keep = ["id", "local_day", "tracon_code", *cols]
-    a = canonical.map_to_entries(a, "eventairport_conv", "eventcity", "eventstate", ref, ["loc_id", "icao"], keep=keep).withColumn("loc", F.coalesce("tracon_code", "entry_id"))
+    none = F.lit(None).cast("string")
+    a = a.select(F.lit(0).alias("side"), F.col("incident_id").alias("id"), F.col("localeventdate").alias("date"), F.col("eventairport_conv").alias("name"), F.col("eventcity").alias("city"), F.col("eventstate").alias("state"), F.col("tracon_code").alias("code"), none.alias("latitude"), none.alias("longitude"), *cols)
     b = latest(table(spark, sf, "ntsb_incidents"), "ntsb_id", "received_ts", ["airport_code", "airport_name", "latitude", "longitude", "location_text", "event_date", *cols])
-    b = normalised(with_zone(b, "office_code", offices, "office_code", "tz_name"), "event_date", "tz_of_row").withColumnRenamed("ntsb_id", "id")
     where = F.split("location_text", ",")
-    b = b.withColumns({"city": F.trim(F.try_element_at(where, F.lit(1))), "state": F.trim(F.try_element_at(where, F.lit(2)))})
-    b = canonical.map_to_entries(b, "airport_name", "city", "state", ref, ["loc_id", "icao"], keep=["id", "local_day", "airport_code", "latitude", "longitude", *cols])
+    b = b.select(F.lit(1).alias("side"), F.col("ntsb_id").alias("id"), F.col("event_date").alias("date"), F.col("airport_name").alias("name"), F.trim(F.try_element_at(where, F.lit(1))).alias("city"), F.trim(F.try_element_at(where, F.lit(2))).alias("state"), F.col("airport_code").alias("code"), "latitude", "longitude", *cols)
+    both = settled(normalised(with_zone(a.unionByName(b), "office_code", offices, "office_code", "tz_name"), "date", "tz_of_row"))
+    both = canonical.map_to_entries(both, "name", "city", "state", ref, ["loc_id", "icao"], keep=["side", "id", "local_day", "code", "latitude", "longitude", *cols])
     codes = ref.select("loc_id", F.explode(F.array("loc_id", "icao")).alias("_code")).groupBy("_code").agg(F.min("loc_id").alias("loc_id"))
-    b = b.withColumn("_code", F.upper(F.trim("airport_code"))).join(small(codes), "_code", "left")
-    b = b.withColumn("loc", F.coalesce("loc_id", "entry_id")).drop("loc_id")
+    both = both.withColumn("_code", F.when(F.col("side") == 1, F.upper(F.trim("code")))).join(small(codes), "_code", "left")
+    # register A gives a code only where it found the airport as listed
+    both = both.withColumn("loc", F.coalesce(F.when(F.col("side") == 0, F.col("code")), "loc_id", "entry_id")).drop("loc_id")
     places = small(ref.select(F.col("loc_id").alias("loc"), F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon"), F.col("state").alias("state_of")))
-    a, b = a.join(places, "loc", "left"), b.join(places, "loc", "left")
-    a = _attributes(a).withColumns({"lat": F.col("ref_lat"), "lon": F.col("ref_lon")})
-    b = _attributes(b).withColumns({"lat": F.coalesce(F.trim("latitude").try_cast("double"), "ref_lat"), "lon": F.coalesce(F.trim("longitude").try_cast("double"), "ref_lon")})
-    out = ["id", F.unix_date("local_day").alias("day"), "loc", F.col("state_of").alias("state"), "lat", "lon", "tail", "make", "model", "phase", F.col("persons_aboard").alias("persons"), F.col("office_code").alias("office")]
-    return a.select(*out), b.select(*out)
+    both = _attributes(both.join(places, "loc", "left")).withColumns({"lat": F.coalesce(F.trim("latitude").try_cast("double"), "ref_lat"), "lon": F.coalesce(F.trim("longitude").try_cast("double"), "ref_lon")})
+    out = ["side", "id", F.unix_date("local_day").alias("day"), "loc", F.col("state_of").alias("state"), "lat", "lon", "tail", "make", "model", "phase", F.col("persons_aboard").alias("persons"), F.col("office_code").alias("office")]
+    both = settled(both.select(*out))
+    return both.filter("side = 0").drop("side"), both.filter("side = 1").drop("side")
 
 
 def p5_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,13 +113,17 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text").select("item_id", "doc_id")
 
 
+#: Where a public confusables.txt (UTS #39) is, if look-alikes beyond the built-in ones shall count.
+CONFUSABLES = os.environ.get("CONFUSABLES_FILE")
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike.look_pairs(table(spark, sf, "documents"), "doc_id", "text").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    return lookalike.look_pairs(table(spark, sf, "documents"), "doc_id", "text", lookalike.confusables(CONFUSABLES)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p10_look_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Each document that shares its look with different characters, with its class."""
-    return lookalike.look_classes(table(spark, sf, "documents"), "doc_id", "text")
+    return lookalike.look_classes(table(spark, sf, "documents"), "doc_id", "text", lookalike.confusables(CONFUSABLES))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched_values, p2_found, p2_term_frequencies, p5_found, p5_links, p8_containers, p8_fill_report, p9_found, p10_found, p10_look_classes)}

@@ -73,12 +73,25 @@ def test_estimates_recover_the_truth():
     truth = r.random(20_000) < 0.3
     pat = np.stack([np.where(truth, r.random(20_000) < 0.9, r.random(20_000) < p) for p in (0.05, 0.2, 0.1)], 1).astype(int)
     pat[r.random(20_000) < 0.1, 0] = -1
-    blocked = pat[truth | (pat.sum(1) >= 2)]
+    blocked = pat[(pat == 1).sum(1) >= 2]
     u, n = np.unique(blocked, axis=0, return_counts=True)
-    known = [np.array([1 - p, p]) for p in (0.05, 0.2, 0.1)]
-    post, share, m = k.estimated(u, n.astype(float), [1, 1, 1], known, 20_000)
-    assert abs(share - 0.3) < 0.03
-    assert all(abs(x[1] - 0.9) < 0.04 for x in m)
+    apart = pat[(pat == 1).sum(1) < 2]
+    for draws in (len(apart), 1_000):
+        v, o = np.unique(apart[:draws], axis=0, return_counts=True)
+        _, share, m, non = k.estimated(u, n.astype(float), [1, 1, 1], (v, o.astype(float)), 20_000)
+        assert abs(share - 0.3) < 0.03
+        assert all(abs(x[1] - 0.9) < 0.04 for x in m)
+        assert all(abs(x[1] - p) < 0.04 for x, p in zip(non, (0.05, 0.2, 0.1)))
+
+
+def test_hot_blocks_are_split_without_loss(spark, monkeypatch):
+    a, b = _made(150, 3)
+    a = [(*r[:1], 77, "JQX", *r[3:7], "a", "1", "taxi", 5, r[11]) if r[0] % 2 else r for r in a]  # half the records of both in one block
+    b = [(*r[:1], 77, "JQX", *r[3:7], "a", "1", "taxi", 5, r[11]) if r[0] % 3 else r for r in b]
+    x, y = spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA)
+    whole = {tuple(r) for r in k.candidates(x, y).collect()}
+    monkeypatch.setattr(k, "HOT", 7)
+    assert {tuple(r) for r in k.candidates(x, y).collect()} == whole and len(whole) > 10_000
 
 
 def test_nulls_and_empty(spark):

@@ -55,3 +55,34 @@ def test_pairs_against_all_pairs(spark):
 
 def test_empty(spark):
     assert L.look_pairs(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
+
+
+@pytest.mark.parametrize("a,b", [("\u13aa\ua4d3\u13df", "ADC"), ("z\u2c9f\u2c9f", "zoo"), ("\u03c1art", "part"), ("\u0131n", "in"), ("s\u0456de", "side"), ("\u03ca", "\u00ef")])
+def test_other_alphabets(a, b):
+    assert one(a) == one(b)
+
+
+def test_hangul():
+    words = ["한국어", "각", "가각\u11a8", "뷁!", "한 국"]
+    for w in words:
+        assert one(w) == one(unicodedata.normalize("NFD", w)) == unicodedata.normalize("NFC", w)
+    assert one("ㅎㅏㄴ") != one("한") and one("\u1112") == "\u1112"
+    rnd = random.Random(9)
+    xs = ["".join(chr(rnd.choice([rnd.randint(0x1100, 0x1112), rnd.randint(0x1161, 0x1175), rnd.randint(0x11A8, 0x11C2), rnd.randint(0xAC00, 0xD7A3), 0x41])) for _ in range(8)) for _ in range(2000)]
+    assert L.one_form(pa.array(xs)).to_pylist() == [unicodedata.normalize("NFC", x) for x in xs]
+
+
+def test_confusables_file(tmp_path, spark):
+    f = tmp_path / "confusables.txt"
+    f.write_text("# header\n05D8 ;\t0076 ;\tMA\t# tet\n0031 ;\t006C ;\tMA\n0430 ;\t0078 ;\tMA\n006D ;\t0072 006E ;\tMA\n", encoding="utf-8-sig")
+    more = L.confusables(str(f))
+    assert more == ((0x430, 0x78), (0x5D8, 0x76)) and L.confusables(None) == ()
+    assert L.one_form(pa.array(["\u05d8an 1m", "\u0430"]), more=more).to_pylist() == ["van 1m", "a"]
+    df = spark.createDataFrame([(1, "\u05d8an"), (2, "van")], "id long, text string")
+    assert L.look_pairs(df, "id", "text", more).count() == 1 and L.look_pairs(df, "id", "text").count() == 0
+
+
+def test_a_form_of_very_many_rows(spark):
+    df = spark.range(100_003).selectExpr("id", "if(id < 100000, 'hot', 'h\u043et') as text")
+    assert L.look_pairs(df, "id", "text").count() == 300_000
+    assert L.look_classes(df, "id", "text").groupBy("class_id", "n_forms").count().collect()[0].asDict() == {"class_id": 0, "n_forms": 2, "count": 100_003}
