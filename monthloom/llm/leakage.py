@@ -1,9 +1,9 @@
 """Held-out passages found in a corpus by latent semantic retrieval, then checked word by word.
 
 Texts are cut into overlapping passages of words in their one form. Passages are weighted by TF-IDF over the words of the held-out items, with document
-frequencies of the whole corpus; a randomised SVD, whose sums over passages are made where the passages lie, gives a latent space; the
-items' passages, a bounded set, are searched there by cosine for every passage of the corpus. A candidate is then compared with its item by longest common
-subsequence and, place by place, against the definition of a leak.
+frequencies of the whole corpus; a randomised SVD, whose sums over passages are made where the passages lie, gives a latent space. There every passage of the corpus
+is compared by cosine with the items' passages near it: these are indexed by the nearest of some centres, and those of the nearest centres are looked at. A candidate is then compared with its
+item by longest common subsequence and, place by place, against the definition of a leak.
 
 A passage can hold part of a leak only if nearly all its words occur in the items, so others are dropped before anything is weighted; this loses no leak.
 """
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import settled
 from .lookalike import _slices, one_form
@@ -32,8 +33,12 @@ KNOWN = WINDOW - 3
 RANK, EXTRA, COSINE = 96, 16, 0.7
 #: Passages that a sum of the sketch holds at once.
 AT_ONCE = 1_024
-#: Words of held-out items that one model may hold; more items than fit are searched block by block.
-MOST_ITEMS = 2_000
+#: Items whose words one pass over the corpus looks for, and items that one latent space holds; more are taken block by block, the latter over the stretches that the pass kept.
+SCANNED, MOST_ITEMS = 20_000, 2_000
+#: The share of the index's centres that are looked at, and how many at least; item passages that the centres are fitted on at most (the index holds all); rounds of fitting.
+LOOKED_AT, LEAST_CENTRES, FITTED, FITS = 0.1, 8, 50_000, 4
+#: Passages of documents that are compared at once.
+COMPARED = 8_192
 
 
 @dataclass
@@ -51,6 +56,13 @@ class Items:
         words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in (f or "").split()], np.int32) for f in forms]
         return cls([i for i, _ in rows], words, vocabulary)
 
+    def parts(self, size: int) -> Iterator[tuple["Items", np.ndarray]]:
+        """Items of so many at a time with word numbers of their own, and for each the numbers of its words here."""
+        for i in range(0, len(self.ids), size):
+            words = self.words[i : i + size]
+            mine = np.unique(np.concatenate([*words, np.zeros(0, np.int32)]))
+            yield Items(self.ids[i : i + size], [np.searchsorted(mine, w).astype(np.int32) for w in words], dict.fromkeys(mine.tolist(), 0)), mine
+
     def passages(self) -> tuple[np.ndarray, np.ndarray]:
         """(passages of WINDOW words as rows, the item each is from)."""
         out, of = [np.zeros((0, WINDOW), np.int32)], [np.zeros(0, np.int64)]
@@ -93,10 +105,24 @@ def spans(df: DataFrame, key: str, text: str, items: Items) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([k for k, _ in out], pa.int64())), pa.array([w for _, w in out], pa.list_(pa.int32()))], names=[key, "words"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, df_type), pa.array([held.astype(np.int32)], pa.list_(pa.int32()))], names=[key, "words"])
 
-    df_type = pa.int64() if df.schema[key].dataType.typeName() == "long" else pa.int32() if df.schema[key].dataType.typeName() == "integer" else pa.string()
+    df_type = to_arrow_type(df.schema[key].dataType)
     return df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, words array<int>")
 
 
+def narrowed(spans_: DataFrame, key: str, mine: np.ndarray, n_words: int) -> DataFrame:
+    """The stretches that may hold a leak of some of the items, in the word numbers of those."""
+    local = np.full(n_words + 1, -1, np.int32)
+    local[mine] = np.arange(len(mine))
+    sent = spans_.sparkSession.sparkContext.broadcast(local)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(k, w[s:e]) for k, x in enumerate(b.column(1)) for w in [sent.value[np.asarray(x.values)]] for s, e in stretches(w)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _ in out], pa.int64())), pa.array([w for _, w in out], pa.list_(pa.int32()))], names=[key, "words"])
+
+    return spans_.select(key, "words").mapInArrow(run, spans_.select(key, "words").schema)
+
+
 def _windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(passages, their places) of a stretch; the last one ends with it."""
     last = len(words) - WINDOW
@@ -201,23 +227,73 @@ def leaks(doc: np.ndarray, item: np.ndarray) -> bool:
     return False
 
 
-def _search(items: Items, idf: np.ndarray, basis: np.ndarray, space: np.ndarray, of: np.ndarray, key: str):
+@dataclass
+class Index:
+    """Unit vectors by the nearest of some centres."""
+
+    vectors: np.ndarray
+    centres: np.ndarray
+    #: For each centre the places of its vectors.
+    lists: list[np.ndarray]
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, seed: int = 11) -> "Index":
+        n = max(1, round(len(vectors) ** 0.5))
+        rnd = np.random.default_rng(seed)
+        some = vectors if len(vectors) <= FITTED else vectors[rnd.choice(len(vectors), FITTED, replace=False)]
+        centres = some[rnd.choice(len(some), n, replace=False)].copy()
+        for _ in range(FITS):
+            near = cls._nearest(some, centres)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, some)
+            norm = np.linalg.norm(sums, axis=1, keepdims=True)
+            centres = np.where(norm > 0, sums / np.maximum(norm, 1e-9), centres)
+        near = cls._nearest(vectors, centres)
+        order = np.argsort(near, kind="stable")
+        return cls(vectors, centres, np.split(order, np.searchsorted(near[order], np.arange(1, n))))
+
+    @staticmethod
+    def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.argmax(vectors[i : i + COMPARED] @ centres.T, axis=1) for i in range(0, len(vectors), COMPARED)])
+
+    def near(self, asked: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(asked, vector) of the pairs with a cosine of at least least, among the vectors of the centres looked at."""
+        n = len(self.centres)
+        k = min(n, max(LEAST_CENTRES, round(LOOKED_AT * n)))
+        looked = np.argpartition(-(asked @ self.centres.T), k - 1, axis=1)[:, :k]
+        order = np.argsort(looked.ravel(), kind="stable")
+        bounds = np.searchsorted(looked.ravel()[order], np.arange(n + 1))
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for c, at in enumerate(self.lists):
+            who = order[bounds[c] : bounds[c + 1]] // k
+            if len(who) and len(at):
+                i, j = np.nonzero(asked[who] @ self.vectors[at].T >= least)
+                xs.append(who[i])
+                ys.append(at[j])
+        return np.concatenate(xs), np.concatenate(ys)
+
+
+def _search(sent, key: str, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, idf, basis, index, of = sent.value
         for b in batches:
             found = []
             stretch = [np.asarray(w.values) for w in b.column(1)]
-            for s in range(0, len(stretch), 16):
-                part = stretch[s : s + 16]
+            start = 0
+            while start < len(stretch):
+                end, n = start, 0
+                while end < len(stretch) and (n == 0 or n + len(stretch[end]) // DOC_STEP <= COMPARED):
+                    n += len(stretch[end]) // DOC_STEP
+                    end += 1
+                part = stretch[start:end]
                 cut = [_windows(w) for w in part]
                 passages = np.concatenate([p for p, _ in cut])
                 owner = np.repeat(np.arange(len(part)), [len(p) for p, _ in cut])
                 place = np.concatenate([at for _, at in cut])
-                vectors = weighted(passages, idf, basis)
                 near: dict[tuple[int, int], list[int]] = defaultdict(list)
-                for x in range(0, len(vectors), 256):
-                    i, j = np.nonzero(vectors[x : x + 256] @ space.T >= COSINE)
-                    pairs = np.unique(np.stack([i + x, of[j]]), axis=1) if len(i) else np.zeros((2, 0), int)
-                    for w, it in pairs.T.tolist():
+                for x in range(0, len(passages), COMPARED):
+                    i, j = index.near(weighted(passages[x : x + COMPARED], idf, basis), COSINE)
+                    for w, it in np.unique(np.stack([i + x, of[j]]), axis=1).T.tolist():
                         near[int(owner[w]), it].append(int(place[w]))
                 for (o, it), at in near.items():
                     item, doc = items.words[it], part[o]
@@ -228,11 +304,12 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, space: np.ndarray,
                         if nxt is None or nxt - a > len(item):
                             piece = doc[max(0, lo - len(item)) : a + WINDOW + len(item)]
                             if common_subsequence(item, piece) >= SHARE * LEAST_WORDS and leaks(piece, item):
-                                found.append((s + o, it))
+                                found.append((start + o, it))
                                 break
                             lo = nxt
+                start = end
             pick = pa.array([k for k, _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([items.ids[i] for _, i in found], pa.int64()), b.column(0).take(pick)], names=["item_id", key])
+            yield pa.RecordBatch.from_arrays([pa.array([items.ids[i] for _, i in found], id_type), b.column(0).take(pick)], names=["item_id", key])
 
     return run
 
@@ -241,37 +318,44 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     """(item_id, key): each document with each item of which it holds LEAST_WORDS words or more.
 
     Letter case, punctuation, white space and the form of the characters make no difference. Items of fewer words leak nowhere; null and empty texts hold nothing; extra
-    columns are ignored; repeated rows of a document give one pair. items is a held-out set and is read in blocks of MOST_ITEMS; each block is searched against all documents.
+    columns are ignored; repeated rows of a document give one pair; keys may be of any type, those of a table that are null are left out. items is a held-out set: SCANNED items at a time are looked
+    for in one pass over all documents, which keeps the stretches that nearly all consist of their words; the search reads those only.
     """
-    rows, blocks = [], []
-    for r in items.filter(F.col(item_text).isNotNull()).select(F.col(item_key).cast("long"), item_text).orderBy(item_key).toLocalIterator():
-        rows.append((r[0], r[1]))
-        if len(rows) == MOST_ITEMS:
-            blocks, rows = [*blocks, rows], []
+    spark = docs.sparkSession
+    id_kind, kind = items.schema[item_key].dataType.simpleString(), docs.schema[key].dataType.simpleString()
+    known = items.filter(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).orderBy("k")
+    blocks, rows = [], []
+    for r in known.toLocalIterator():
+        rows.append((r["k"], r["t"]))
+        if len(rows) == SCANNED:
+            blocks, rows = [*blocks, Items.of(rows)], []
     if rows:
-        blocks.append(rows)
+        blocks.append(Items.of(rows))
+    id_type = to_arrow_type(items.schema[item_key].dataType)
     out = None
-    kind = docs.schema[key].dataType.simpleString()
     for block in blocks:
-        it = Items.of(block)
-        own, of = it.passages()
-        if not len(own):
+        if not len(block.passages()[0]):
             continue
-        held = settled(spans(docs, key, text, it))
+        held = settled(spans(docs, key, text, block))
         counts = held.filter(F.col(key).isNull()).select(F.posexplode("words").alias("j", "n")).groupBy("j").agg(F.sum("n").alias("n")).collect()  # one row a word of the items
-        df = np.zeros(len(it.vocabulary) + 1)
+        df = np.zeros(len(block.vocabulary) + 1)
         for r in counts:
             df[r["j"]] = r["n"]
-        idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
-        real = held.filter(F.col(key).isNotNull())
-        n = max(real.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        real = real.repartition(n)
-        basis = latent_basis(real, idf, own)
-        space = weighted(own, idf, basis)
-        part = real.select(key, "words").mapInArrow(_search(it, idf, basis, space, of, key), f"item_id long, `{key}` {kind}")
-        out = part if out is None else out.unionByName(part)
+        every = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
+        n = max(held.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        real = held.filter(F.col(key).isNotNull()).repartition(n)
+        for it, mine in block.parts(MOST_ITEMS):
+            own, of = it.passages()
+            if not len(own):
+                continue
+            some = real if len(block.ids) <= MOST_ITEMS else settled(narrowed(real, key, mine, len(block.vocabulary)))
+            idf = every[mine]
+            basis = latent_basis(some, idf, own)
+            sent = spark.sparkContext.broadcast((it, idf, basis, Index.of(weighted(own, idf, basis)), of))
+            part = some.select(key, "words").mapInArrow(_search(sent, key, id_type), f"item_id {id_kind}, `{key}` {kind}")
+            out = part if out is None else out.unionByName(part)
     if out is None:
-        return docs.sparkSession.createDataFrame([], f"item_id long, `{key}` {kind}")
+        return spark.createDataFrame([], f"item_id {id_kind}, `{key}` {kind}")
     return out.distinct()
 
 

@@ -30,9 +30,10 @@ def _tables(seed, n_docs=120):
     return items, [*docs, (1, None), (2, ""), (3, items[5][1][:40])]
 
 
-@pytest.mark.parametrize("seed,block", [(1, 2000), (2, 7)])
-def test_against_brute_force(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed,block,scanned", [(1, 2000, 20_000), (2, 7, 20_000), (3, 4, 9)])
+def test_against_brute_force(spark, monkeypatch, seed, block, scanned):
     monkeypatch.setattr(k, "MOST_ITEMS", block)
+    monkeypatch.setattr(k, "SCANNED", scanned)
     items, docs = _tables(seed)
     want = k.brute_force(docs, items)
     assert len(want) > 20
@@ -112,3 +113,22 @@ def test_the_sketch_sums_every_passage(spark):
         a[i] /= np.sqrt((idf[p[p >= 0]] ** 2).sum())
     df = spark.createDataFrame([(w,) for w in words], "words array<int>")
     assert np.allclose(k._sketch(df, idf, q, own), a.T @ (a @ q))
+
+
+def test_keys_of_any_type(spark):
+    item = " ".join(WORDS[:30])
+    docs = spark.createDataFrame([("d-1", "so " + item + " it went"), (None, item), ("d-2", "other words")], "doc string, text string")
+    items = spark.createDataFrame([("i/1", item), (None, item), ("i/2", "short")], "item string, text string")
+    assert [tuple(r) for r in k.leaked(docs, "doc", "text", items, "item", "text").collect()] == [("i/1", "d-1")]
+
+
+@pytest.mark.parametrize("seed,n", [(1, 500), (2, 5_000), (3, 20_000)])
+def test_index_recall(seed, n):
+    """Vectors near those asked for, of the cosine that changed words leave, are found as a full comparison finds them."""
+    r = np.random.default_rng(seed)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    vectors = unit(r.standard_normal((n, 96)) @ np.diag(np.linspace(2, 0.2, 96)))
+    asked = unit(vectors[r.integers(0, n, 500)] + 0.5 * unit(r.standard_normal((500, 96))))
+    want = set(zip(*(x.tolist() for x in np.nonzero(asked @ vectors.T >= k.COSINE))))
+    got = set(zip(*(x.tolist() for x in k.Index.of(vectors).near(asked, k.COSINE))))
+    assert got <= want and len(got) >= 0.9 * len(want) > 400
