@@ -399,12 +399,11 @@ def _answered(trees: dict[str, BKTree], role: list[str], form: list[str], most:
 
 def search(queries: DataFrame, forms: DataFrame) -> DataFrame:
     """(role, query, form, d): for each query (role, query, most) every form (role, form) of its role at a distance of most at most."""
-    forms, queries = settled(forms.select("role", "form").distinct()), queries.select("role", "query", "most").distinct()
+    forms, queries = forms.select("role", "form").distinct(), queries.select("role", "query", "most").distinct()
     schema, ctx = "role string, query string, form string, d int", forms.sparkSession.sparkContext
-    n = forms.count()
     parts = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if n <= SHARD:
-        rows = forms.collect()  # at most SHARD
+    rows = forms.limit(SHARD + 1).collect()
+    if len(rows) <= SHARD:
         sent, token = ctx.broadcast(([r["role"] for r in rows], [r["form"] for r in rows])), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,8 +415,8 @@ def search(queries: DataFrame, forms: DataFrame) -> DataFrame:
                 yield _answered(_BUILT[token], *(b.column(c).to_pylist() for c in ("role", "query", "most")))
 
         return queries.repartition(parts, "query").mapInArrow(run, schema)
-    queries = settled(queries)
-    shards, slices = -(-n // SHARD), max(-(-queries.count() // QUERIES), 1)
+    queries, forms = settled(queries), settled(forms)
+    shards, slices = -(-forms.count() // SHARD), max(-(-queries.count() // QUERIES), 1)
     left = queries.withColumn("slice", F.pmod(F.xxhash64("query", "role"), F.lit(slices)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = forms.withColumn("shard", F.pmod(F.xxhash64("form", "role"), F.lit(shards)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
@@ -432,56 +431,64 @@ def _reach(n: Column) -> Column:
     return F.when(n < 3, 0).when(n < 5, 1).when(n < 8, 2).when(n < 12, 3).otherwise(4)
 
 
-def _queries(readings: DataFrame, placed: DataFrame, read: DataFrame) -> DataFrame:
-    """(role, query, most) of all forms that the triples' fields may mean."""
+def _readings_of(read: DataFrame) -> DataFrame:
+    """(tid, v, core, kind, bare, said): one row a reading; v is 1 for those of the city."""
+    one = lambda v: lambda r: F.struct(F.lit(v).alias("v"), *[r[c].alias(c) for c in ("core", "kind", "bare", "said")])
+    return read.select("tid", F.explode(F.array_distinct(F.concat(F.transform("plain", one(0)), F.transform("turned", one(1))))).alias("r")).select("tid", "r.*")
+
+
+def _asked(core: Column, bare: Column) -> Column:
+    """(role, query, most) of the trees that a reading asks: all names within reach and one more, names that it begins, and for one without vowels the names' consonants."""
     row = lambda role, form, most: F.struct(F.lit(role).alias("role"), form.alias("query"), most.cast("int").alias("most"))
-    core, zero = F.col("core"), F.lit(0)
     bones = F.regexp_replace(core, "[aeiou]", "")
-    named = F.array(row("name", core, _reach(F.length(core)) + 1), F.when(F.length(core) >= 4, row("head", core, zero)), F.when(F.col("bare"), row("bones", bones, F.when(F.length(bones) < 5, 0).otherwise(1))))
-    place = lambda c: F.array(row("city", F.col(c), _reach(F.length(c))), F.when(F.length(c) >= 4, row("cityhead", F.col(c), zero)))
-    one = readings.select(F.explode(F.array_compact(named)).alias("q"))
-    two = placed.select(F.explode(F.array_compact(F.concat(place("place0"), place("place1")))).alias("q"))
-    three = read.filter("whole != ''").select(row("code", F.col("whole"), zero).alias("q"))
-    return one.unionByName(two).unionByName(three).select("q.*").filter("query != ''").distinct()
+    return F.array_compact(F.array(row("name", core, _reach(F.length(core)) + 1), F.when(F.length(core) >= 4, row("head", core, F.lit(0))), F.when(bare & (bones != ""), row("bones", bones, F.when(F.length(bones) < 5, 0).otherwise(1)))))
+
+
+def _queries(read: DataFrame, info: DataFrame) -> DataFrame:
+    """(role, query, most) of all forms that the triples' fields may mean."""
+    row = lambda role, form, most: F.struct(F.lit(role).alias("role"), form.alias("query"), most.cast("int").alias("most"))
+    place = lambda c: [row("city", F.col(c), _reach(F.length(c))), F.when(F.length(c) >= 4, row("cityhead", F.col(c), F.lit(0)))]
+    one = _readings_of(read).select(F.explode(_asked(F.col("core"), F.col("bare"))).alias("q"))
+    two = info.select(F.explode(F.array_compact(F.array(*place("place0"), *place("place1"), row("code", F.col("whole"), F.lit(0))))).alias("q"))
+    return one.unionByName(two).select("q.*").filter("query != ''").distinct()
 
 
 def resolved(triples: DataFrame, reference: DataFrame, codes: list[str] = []) -> DataFrame:
     """(tid, entry_id): the entry that each of the triples (tid, name, city, state) denotes; triples that denote none, or several equally, are left out."""
     entries = settled(entry_forms(reference, codes))
     read = settled(_read(triples))
-    placed = settled(_placed(read, entries))
-    forms = settled(_forms(entries))
-    readings = settled(read.select("tid", F.explode(F.concat(F.transform("plain", lambda r: F.struct(F.lit(0).alias("v"), r["core"].alias("core"), r["kind"].alias("kind"), r["bare"].alias("bare"), r["said"].alias("said"))), F.transform("turned", lambda r: F.struct(F.lit(1).alias("v"), r["core"].alias("core"), r["kind"].alias("kind"), r["bare"].alias("bare"), r["said"].alias("said"))))).alias("r")).select("tid", "r.*"))
-    hits = search(_queries(readings, placed, read), forms).join(small(forms), ["role", "form"])
-    hits = settled(hits.select("role", "query", "target", "d", F.length("form").alias("n_form")))
-    # names: the distance of vowelless names counts one more, that of a name cut off is two
+    info = settled(_placed(read, entries).join(read.select("tid", "named", "whole", (F.size("plain") > 0).alias("n0")), "tid"))
+    forms = _forms(entries)
+    hits = search(_queries(read, info), forms).join(small(forms), ["role", "form"])
+    hits = settled(hits.select("role", "query", "target", "d"))
     role = F.col("role")
+    # names: the distance of vowelless names counts one more, that of a name cut off is two
     cores = hits.filter(role.isin("name", "bones", "head")).select("role", "query", "target", F.when(role == "bones", F.col("d") + 1).when(role == "head", 2).otherwise(F.col("d")).alias("d"))
-    bones = F.regexp_replace("core", "[aeiou]", "")
-    asked = readings.select("*", F.explode(F.array_compact(F.array(F.struct(F.lit("name").alias("role"), F.col("core").alias("query")), F.struct(F.lit("head").alias("role"), F.col("core").alias("query")), F.when(F.col("bare"), F.struct(F.lit("bones").alias("role"), bones.alias("query")))))).alias("q")).select("tid", "v", "core", "kind", "said", "q.*")
-    names = asked.join(cores, ["role", "query"]).groupBy("tid", "v", "core", "kind", "said", "target").agg(F.min("d").alias("d"))
-    names = settled(names)
+    asked = _readings_of(read).select("tid", "v", "core", "kind", "said", F.explode(_asked(F.col("core"), F.col("bare"))).alias("q")).select("tid", "v", "core", "kind", "said", "q.role", "q.query")
+    names = asked.join(cores, ["role", "query"]).select("tid", "v", "core", "kind", "said", "target", "d").repartition("tid")
+    names = names.groupBy("tid", "v", "core", "kind", "said", "target").agg(F.min("d").alias("d"))
     # the fields are turned if the city reads as the name of a known place with its kind
-    turned = names.filter("v = 1 and said and kind is not null").select("tid").distinct().withColumn("turn", F.lit(1))
-    way = settled(read.join(placed, "tid").join(turned, "tid", "left").select("tid", "named", "whole", (F.size("plain") > 0).alias("n0"), (F.size("turned") > 0).alias("n1"), F.coalesce("turn", F.lit(0)).alias("v"), F.when(F.col("turn") == 1, F.col("place1")).otherwise(F.col("place0")).alias("place"), F.when(F.col("turn") == 1, F.col("state1")).otherwise(F.col("state0")).alias("st")))
+    turn = F.max(((F.col("v") == 1) & F.col("said") & F.col("kind").isNotNull()).cast("int")).over(Window.partitionBy("tid"))
+    names = names.withColumn("turn", turn).filter("v = turn")
     near = hits.filter(role.isin("city", "cityhead")).groupBy(F.col("query").alias("place"), F.col("target").alias("city")).agg(F.min(F.when(role == "cityhead", 2).otherwise(F.col("d"))).alias("dc"))
-    listed = entries.select(F.col("id"), F.col("core").alias("target"), F.col("kind").alias("e_kind"), "city", "state").filter("target != ''")
-    c = names.join(way, ["tid", "v"]).join(listed, "target").filter("kind is null or kind <=> e_kind")
-    c = c.join(near, ["place", "city"], "left")
+    listed = entries.select("id", F.col("core").alias("target"), F.col("kind").alias("e_kind"), "city", "state").filter("target != ''")
+    where = info.select("tid", "place0", "state0", "place1", "state1")
+    c = names.join(where, "tid").select("tid", "kind", "target", "d", F.when(F.col("v") == 1, F.col("place1")).otherwise(F.col("place0")).alias("place"), F.when(F.col("v") == 1, F.col("state1")).otherwise(F.col("state0")).alias("st"))
+    c = c.join(listed, "target").filter("kind is null or kind <=> e_kind").join(near, ["place", "city"], "left")
     n, d, here, same = F.length("target"), F.col("d"), F.col("dc").isNotNull(), F.coalesce(F.col("state") == F.col("st"), F.lit(False))
     # a name off by more needs its place to agree; against a place that disagrees it must be nearly right
     clash = F.col("place").isNotNull() & ~here & ~(same & (n >= 8))
     most = F.when(here, _reach(n) + 1).when(same & (n >= 8), 2).when(clash | (n < 8), 1).otherwise(2)
     penalty = d + F.when(F.col("kind").isNull(), 0.2).otherwise(0.0) - F.when(here, 1.5 - 0.3 * F.col("dc")).otherwise(0.0) - F.when(same, 1.0).otherwise(0.0)
     by_name = c.filter(d <= most).select("tid", "id", penalty.cast("double").alias("p"))
-    # a city alone, where no name is given; a name that isn't readable still names another place
-    alone = way.filter("not named and place is not null and not (v = 0 and n0 or v = 1 and n1)").join(near, "place").join(entries.select("id", "city", "state"), "city")
+    # a city alone, where no name is given; a name that isn't readable still names another place. Any name beats it
+    alone = info.filter("not named and not n0 and place0 is not null").select("tid", F.col("place0").alias("place"), F.col("state0").alias("st")).join(near, "place").join(entries.select("id", "city", "state"), "city")
     by_city = alone.filter(F.col("dc") <= F.when(same & (F.length("city") >= 6), 2).otherwise(1)).select("tid", "id", (10 + F.col("dc") - F.when(same, 1.0).otherwise(0.0)).cast("double").alias("p"))
     # a code says it all
     coded = entries.select("id", F.explode("codes").alias("code")).groupBy("code").agg(F.min("id").alias("id"))
     known = hits.filter(role == "code").select(F.col("query").alias("whole"), F.col("target").alias("code")).join(coded, "code")
-    by_code = way.filter("v = 0 and n0 or v = 1 and n1").join(known, "whole").select("tid", "id", F.lit(-1000.0).alias("p"))
-    every = by_name.unionByName(by_city).unionByName(by_code).groupBy("tid", "id").agg(F.min("p").alias("p"))
+    by_code = info.filter("n0").join(known, "whole").select("tid", "id", F.lit(-1000.0).alias("p"))
+    every = by_name.unionByName(by_city).unionByName(by_code).repartition("tid").groupBy("tid", "id").agg(F.min("p").alias("p"))
     two = every.withColumn("place", F.row_number().over(Window.partitionBy("tid").orderBy("p", "id"))).filter("place <= 2")
     best = two.groupBy("tid").agg(F.min("p").alias("p"), F.min(F.when(F.col("place") == 1, F.col("id"))).alias("entry_id"), F.max("p").alias("next"), F.count(F.lit(1)).alias("n"))
     return best.filter((F.col("n") == 1) | (F.col("next") - F.col("p") >= CLEAR)).select("tid", "entry_id")

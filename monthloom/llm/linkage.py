@@ -94,7 +94,7 @@ def _split(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_id, b_id, levels): each candidate pair once. Only prints and ids are shuffled to find the pairs; two prints that meet by chance add a candidate and lose none. A block of one key is split
     over tasks; its pairs are all compared, since the records of a block differ in what isn't in its key."""
-    left, right, on = _split(settled(_block_keys(a, "a_id", (0,))), settled(_block_keys(b, "b_id", (-1, 0, 1))))
+    left, right, on = _split(_block_keys(a, "a_id", (0,)), _block_keys(b, "b_id", (-1, 0, 1)))
     pairs = left.join(right, on).select("a_id", "b_id").distinct()
     both = pairs.join(a.alias("a"), F.col("a_id") == F.col("a.id")).join(b.alias("b"), F.col("b_id") == F.col("b.id"))
     return both.select("a_id", "b_id", *[c.cast("int").alias(k) for k, c in _compared().items()])
@@ -191,9 +191,8 @@ def linked(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_id, b_id, confidence) of the links between two tables with the columns id, day, loc, state, lat, lon, tail, make, model, phase, persons, office.
 
     Any of them but id may be null; rows of one table are never linked with each other; a record has one partner at most; an empty table gives no links. Rows
-    must be unique by id. Links below the confidence LEAST are left out.
+    must be unique by id, and the tables settled, since every pass reads them. Links below the confidence LEAST are left out.
     """
-    a, b = settled(a), settled(b)  # each is read by every pass
     pairs = scored(settled(candidates(a, b)), a, b)
     good = settled(pairs.filter(F.col("confidence") >= LEAST).withColumn("gap", -sum((F.greatest(F.col(c), F.lit(0)) for c in LEVELS), F.lit(0))))
     return one_to_one(good).select("a_id", "b_id", "confidence")
