@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small
+
 # Facility types and suffixes as reports write them, and how long a code may be.
 TYPES = ["Center", "Tower", "TRACON", "FSS", "Ground", "Ramp", "CTAF", "UNICOM", "Military Facility"]
 SUFFIXES = [".ARTCC", ".Tower", ".FSS", ".TRACON", ".MILFAC", "&.Tower", ".UNICOM"]
@@ -33,10 +35,13 @@ def residue(text: Column, found: Column) -> Column:
     return F.when(only, "").otherwise(left)
 
 
-def by_code(found: Column, codes: list[str]) -> tuple[Column, Column]:
-    """(facilities with a code of the list, the others)."""
-    known = F.array(*[F.lit(c) for c in codes])
-    return F.filter(found, lambda e: F.array_contains(known, e["code"])), F.filter(found, lambda e: ~F.array_contains(known, e["code"]))
+def by_code(df: DataFrame, key: str, found: str, codes: DataFrame, code: str) -> DataFrame:
+    """(key, listed, others): the facilities of a document whose code is on the list, and the others, each in order. Documents without facilities get two empty arrays; rows of one key are one document."""
+    slot = df.select(key, F.posexplode_outer(found).alias("pos", "e"))
+    known = small(codes.select(F.col(code).alias("_code")).filter("_code is not null").distinct().withColumn("_on", F.lit(True)))
+    slot = slot.join(known, F.col("e.code") == F.col("_code"), "left")
+    part = lambda on: F.transform(F.sort_array(F.collect_list(F.when(F.col("e").isNotNull() & (F.coalesce("_on", F.lit(False)) == on), F.struct("pos", "e")))), lambda x: x["e"])
+    return slot.groupBy(key).agg(part(True).alias("listed"), part(False).alias("others"))
 
 
 def slots(found: Column, prefix: str, n: int = 6) -> list[Column]:

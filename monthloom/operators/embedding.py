@@ -14,9 +14,14 @@ def document_ids(df: DataFrame, text: str) -> DataFrame:
     return df.filter(F.col(text).isNotNull()).groupBy(F.md5(text).alias("text_id")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def trained(df: DataFrame, text: str, size: int = 20, window: int = 3, seed: int = 42, least: int = 2, parts: int = 1):
-    """A word model over the different texts of the column; the same one each time for a seed and number of parts."""
+#: Texts that one task of the training takes.
+TEXTS_A_PART = 50_000
+
+
+def trained(df: DataFrame, text: str, size: int = 20, window: int = 3, seed: int = 42, least: int = 2, parts: int | None = None):
+    """A word model over the different texts of the column; the same one each time for a seed and number of parts, which by default follows from the number of texts."""
     words = df.filter(F.col(text).isNotNull()).select(text).distinct().select(T.spaced_tokens(F.col(text)).alias("words")).filter(F.size("words") > 0)
+    parts = parts or max(1, -(-words.count() // TEXTS_A_PART))
     return Word2Vec(vectorSize=size, windowSize=window, seed=seed, minCount=least, numPartitions=parts, maxIter=1, inputCol="words", outputCol="v").fit(words)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import settled, small, spread_lookup
 
 
 def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, out: str, otherwise: Column | None = None) -> DataFrame:
@@ -37,10 +37,10 @@ def missing(df: DataFrame, keys: list[str], other: DataFrame) -> DataFrame:
 
 
 def duplicate_flag(df: DataFrame, col: str, out: str = "duplicated") -> DataFrame:
-    """Whether another row has the same value; nulls are equal to each other. Counted by print and joined, so that a value held by very many rows isn't gathered."""
+    """Whether another row has the same value; nulls are equal to each other. Counted by print and looked up, spread for a value that very many rows hold."""
     p = F.md5(F.coalesce(F.concat(F.lit("v"), F.col(col)), F.lit("n")))
-    n = df.groupBy(p.alias("_p")).agg((F.count(F.lit(1)) > 1).alias(out))
-    return df.withColumn("_p", p).join(n, "_p").drop("_p")
+    n = settled(df.groupBy(p.alias("_p")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_p", F.lit(True).alias(out)))
+    return spread_lookup(df.withColumn("_p", p), n, "_p").withColumn(out, F.coalesce(out, F.lit(False))).drop("_p")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -1,6 +1,6 @@
 """Totals over trailing periods from segment trees per entity and time shard.
 
-A shard of an entity's days is the leaves of a complete binary tree, whose nodes store sums and counts. The leaves hold the shard's
+Trees are built for one run (trailing_totals) or kept in a table (StoredTrees), where late rows change only the ancestors of their days, and only the files that hold them. A shard of an entity's days is the leaves of a complete binary tree, whose nodes store sums and counts. The leaves hold the shard's
 own days and, before them, as many of the days before as the longest period reaches back, so that each shard answers for itself and one
 hot entity is spread over its shards. Trees of many shards are built and queried together as the rows of one array.
 """
@@ -11,14 +11,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Leaves of a tree; a power of two well above the longest period.
+from ..session import settled
+
+#: Leaves of a tree at least.
 LEAVES = 512
 
 
+def leaves_for(periods: list[int]) -> int:
+    """The leaves of a tree: a power of two of at least twice the longest period."""
+    if not periods or min(periods) < 1:
+        raise ValueError("a period has at least one day")
+    return max(LEAVES, 1 << (2 * max(periods) - 1).bit_length())
+
+
 class SegmentTrees:
     """Trees over a batch of shards: an array (measures, shards, 2 * leaves); node i has the children 2i and 2i + 1, leaf p is node leaves + p."""
 
@@ -61,9 +70,10 @@ class SegmentTrees:
         return out
 
 
-def _placed(daily: DataFrame, halo: int) -> DataFrame:
+def _placed(daily: DataFrame, periods: list[int]) -> DataFrame:
     """daily (entity, day_no, ...) with (shard, leaf); a day near a shard's end stands in the next one too."""
-    own = LEAVES - halo
+    halo = max(periods) - 1
+    own = leaves_for(periods) - halo
     k, p = F.floor(F.col("day_no") / own), F.pmod("day_no", F.lit(own))
     here = F.struct(k.alias("shard"), (p + halo).cast("int").alias("leaf"))
     nxt = F.struct((k + 1).alias("shard"), (p + halo - own).cast("int").alias("leaf"))
@@ -71,36 +81,70 @@ def _placed(daily: DataFrame, halo: int) -> DataFrame:
     return daily.withColumn("_at", F.explode(at)).select("*", "_at.shard", "_at.leaf").drop("_at")
 
 
-def daily_sums(rows: DataFrame, entity: str, day: str, measures: list[str]) -> DataFrame:
-    """(entity, day_no, measures, n): rows summed by entity and day; null measures are 0, rows without entity or day are left out."""
-    return rows.filter(F.col(entity).isNotNull() & F.col(day).isNotNull()).groupBy(F.col(entity).alias("entity"), F.unix_date(day).alias("day_no")).agg(*[F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"m{i}") for i, c in enumerate(measures)], F.count(F.lit(1)).cast("double").alias("n"))
+def daily_sums(rows: DataFrame, entity: str, day: str, measures: list[str], sign: Column | None = None) -> DataFrame:
+    """(entity, day_no, measures, n): rows summed by entity and day; null measures are 0, rows without entity or day are left out. sign: 1 for rows that come, -1 for rows that go."""
+    by = F.lit(1.0) if sign is None else sign.cast("double")
+    rows = rows.filter(F.col(entity).isNotNull() & F.col(day).isNotNull()).withColumn("_by", by)
+    return rows.groupBy(F.col(entity).alias("entity"), F.unix_date(day).alias("day_no")).agg(*[F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.col("_by")).alias(f"m{i}") for i, c in enumerate(measures)], F.sum("_by").alias("n"))
 
 
 def tree_nodes(daily: DataFrame, periods: list[int], n_measures: int) -> DataFrame:
     """The stored form of the trees: (entity, shard, node, m0.., n), without nodes that cover no row."""
-    return _summed(_to_ancestors(_placed(daily, max(periods) - 1)), n_measures)
-
-
-def _to_ancestors(placed: DataFrame) -> DataFrame:
-    levels = LEAVES.bit_length()
-    return placed.withColumn("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda j: F.floor((F.lit(LEAVES) + F.col("leaf")) / F.pow(F.lit(2), j)).cast("int"))))
+    leaves = leaves_for(periods)
+    up = F.transform(F.sequence(F.lit(0), F.lit(leaves.bit_length() - 1)), lambda j: F.floor((F.lit(leaves) + F.col("leaf")) / F.pow(F.lit(2), j)).cast("int"))
+    return _summed(_placed(daily, periods).withColumn("node", F.explode(up)), n_measures)
 
 
 def _summed(nodes: DataFrame, n_measures: int) -> DataFrame:
     return nodes.groupBy("entity", "shard", "node").agg(*[F.sum(c).alias(c) for c in (*[f"m{i}" for i in range(n_measures)], "n")])
 
 
-def corrected(nodes: DataFrame, late: DataFrame, periods: list[int], n_measures: int) -> DataFrame:
-    """Stored trees after late rows (entity, day_no, m0.., n): only the ancestors of the corrected days change. late may hold negative amounts."""
-    delta = tree_nodes(late, periods, n_measures)
-    cols = [*[f"m{i}" for i in range(n_measures)], "n"]
-    both = nodes.alias("a").join(delta.alias("b"), ["entity", "shard", "node"], "full")
-    return both.select("entity", "shard", "node", *[(F.coalesce(F.col(f"a.{c}"), F.lit(0.0)) + F.coalesce(F.col(f"b.{c}"), F.lit(0.0))).alias(c) for c in cols])
+class StoredTrees:
+    """Segment trees in a table of files, cut into parts by entity and shard.
+
+    Late rows touch the parts that hold their shards: those are read, the ancestors of the late days are added to, and those parts alone are written again. Everything else stays as it is.
+    Only the numbers of the touched parts, at most parts of them, come to the driver.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, measures: list[str], periods: list[int], parts: int = 64) -> None:
+        self.spark, self.path, self.measures, self.periods, self.parts = spark, path, measures, periods, parts
+
+    def _write(self, nodes: DataFrame, mode: str) -> None:
+        part = F.pmod(F.xxhash64("entity", "shard"), F.lit(self.parts)).cast("int")
+        out = nodes.withColumn("part", part).repartition("part").write.partitionBy("part").mode(mode)
+        out.option("partitionOverwriteMode", "dynamic").parquet(self.path)
+
+    def build(self, daily: DataFrame) -> "StoredTrees":
+        """Stores the trees of daily sums."""
+        self._write(tree_nodes(daily, self.periods, len(self.measures)), "errorifexists")
+        return self
+
+    def nodes(self, touched: list[int] | None = None) -> DataFrame:
+        """The stored nodes, of the touched parts only if they are given."""
+        stored = self.spark.read.parquet(self.path)
+        return stored if touched is None else stored.filter(F.col("part").isin(touched))
+
+    def correct(self, late: DataFrame) -> list[int]:
+        """Takes in late daily sums, which may hold negative amounts; gives the parts that were written again."""
+        delta = settled(tree_nodes(late, self.periods, len(self.measures)).withColumn("part", F.pmod(F.xxhash64("entity", "shard"), F.lit(self.parts)).cast("int")))
+        touched = sorted(r["part"] for r in delta.select("part").distinct().collect())
+        if touched:
+            both = self.nodes(touched).drop("part").unionByName(delta.drop("part"))
+            self._write(settled(_summed(both, len(self.measures))), "overwrite")  # settled, as it reads what it replaces
+        return touched
+
+    def totals(self, entity: str = "entity") -> DataFrame:
+        """As trailing_totals, without building a tree; an entity's days go from its first to its last with a row."""
+        nodes, leaves, halo = self.nodes().drop("part"), leaves_for(self.periods), max(self.periods) - 1
+        own = nodes.filter((F.col("node") >= leaves + halo) & (F.col("n") > 0))
+        day = F.col("shard") * (leaves - halo) + F.col("node") - leaves - halo
+        bounds = own.groupBy("entity").agg(F.min(day).cast("int").alias("lo"), F.max(day).cast("int").alias("hi"))
+        return _result(_shards(nodes, bounds, self.periods, len(self.measures), "node"), self.periods, self.measures, entity, True)
 
 
 def _answers(periods: list[int], n_measures: int, names: list[str], stored: bool):
-    halo = max(periods) - 1
-    own = LEAVES - halo
+    halo, leaves = max(periods) - 1, leaves_for(periods)
+    own = leaves - halo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -115,12 +159,12 @@ def _answers(periods: list[int], n_measures: int, names: list[str], stored: bool
                 cells = lists.flatten()
                 at = np.repeat(np.arange(n), size)
                 pos = cells.field("pos").to_numpy(zero_copy_only=False).astype(np.int64) if len(cells) else np.zeros(0, np.int64)
-                room = np.zeros((n_measures + 1, n, 2 * LEAVES if stored else LEAVES))
+                room = np.zeros((n_measures + 1, n, 2 * leaves if stored else leaves))
                 for i, c in enumerate([*[f"m{j}" for j in range(n_measures)], "n"]):
                     if len(cells):
                         np.add.at(room[i], (at, pos), cells.field(c).to_numpy(zero_copy_only=False))
                 trees = SegmentTrees.of_nodes(room) if stored else SegmentTrees(room)
-                leaf = np.arange(halo, LEAVES)
+                leaf = np.arange(halo, leaves)
                 day = shard[:, None] * own + (leaf - halo)[None, :]
                 keep = (day >= lo[:, None]) & (day <= hi[:, None])
                 out = [b.column("entity").take(pa.array(np.repeat(np.arange(n), keep.sum(1)))), pa.array(day[keep].astype(np.int32))]
@@ -135,7 +179,7 @@ def _answers(periods: list[int], n_measures: int, names: list[str], stored: bool
 
 
 def _shards(found: DataFrame, bounds: DataFrame, periods: list[int], n_measures: int, key: str) -> DataFrame:
-    own = LEAVES - (max(periods) - 1)
+    own = leaves_for(periods) - (max(periods) - 1)
     cells = found.groupBy("entity", "shard").agg(F.collect_list(F.struct(F.col(key).alias("pos"), *[f"m{i}" for i in range(n_measures)], "n")).alias("cells"))
     spans = bounds.select("entity", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / own), F.floor(F.col("hi") / own))).alias("shard"))
     return spans.join(cells, ["entity", "shard"], "left")
@@ -161,15 +205,9 @@ def trailing_totals(rows: DataFrame, entity: str, day: str, measures: list[str],
 
     rows: any number of rows per entity and day, which add up. Null measures are 0; rows without entity or day are left out; days before
     an entity's first day count as 0; the average divides by the period's length. Extra columns are ignored; an empty table gives an empty table.
-    A period must be at least 1 and below the number of leaves.
+    A period may have any number of days from 1; longer ones make larger trees.
     """
-    if not periods or min(periods) < 1 or max(periods) > LEAVES // 2:
-        raise ValueError("periods must lie between 1 and half the leaves")
+    leaves_for(periods)
     daily = daily_sums(rows, entity, day, measures)
-    shards = _shards(_placed(daily, max(periods) - 1), _bounds(daily), periods, len(measures), "leaf")
+    shards = _shards(_placed(daily, periods), _bounds(daily), periods, len(measures), "leaf")
     return _result(shards, periods, measures, entity, False)
-
-
-def totals_from_nodes(nodes: DataFrame, bounds: DataFrame, measures: list[str], periods: list[int] = [7, 30], entity: str = "entity") -> DataFrame:
-    """As trailing_totals, from stored trees (tree_nodes, corrected) and the bounds (entity, lo, hi) in day numbers."""
-    return _result(_shards(nodes, bounds, periods, len(measures), "node"), periods, measures, entity, True)

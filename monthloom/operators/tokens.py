@@ -6,24 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import small
+from ..session import settled, small
 
-#: Dictionaries up to this size are used as a map inside the expression.
-MAP_ENTRIES = 5_000
+#: Dictionaries up to this size are used as a map inside the expression, which is searched from its beginning for every word.
+MAP_ENTRIES = 64
 
 
-def word_counts(df: DataFrame, text: str, keys: list[str] = [], *, clean: bool = True, distinct_texts: bool = False) -> DataFrame:
-    """(keys, word, ct). distinct_texts: equal texts of all rows count once, told apart by their prints so that no text is shuffled more than once."""
+def word_counts(df: DataFrame, text: str, keys: list[str] = [], *, clean: bool = True, distinct_texts: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """(keys, word, ct). distinct_texts: equal texts of all rows count once; the different texts are shuffled once for that. only: a table of the words (word) that are counted; others are left out before any shuffle."""
     if distinct_texts:
         df = df.select(*keys, text).dropDuplicates([*keys, text])
     split = T.clean_tokens(F.col(text)) if clean else T.spaced_tokens(F.col(text))
-    return df.select(*keys, F.explode(split).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("ct"))
+    words = df.select(*keys, F.explode(split).alias("word"))
+    if only is not None:
+        words = words.join(small(only.select("word").distinct()), "word", "left_semi")
+    return words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("ct"))
 
 
 def dictionary_counts(counts: DataFrame, keys: list[str], words: DataFrame, name: str = "dict") -> DataFrame:
-    """(keys, name, n_words, n_unique): occurrences and distinct words of each word set. words: (name, word), made distinct."""
+    """(keys, name, n_words, n_unique): occurrences and words of each word set. counts: one row per key and word. words: (name, word), made distinct."""
     w = small(words.select(name, "word").distinct())
-    return counts.join(w, "word").groupBy(*keys, name).agg(F.sum("ct").alias("n_words"), F.countDistinct("word").alias("n_unique"))
+    return counts.join(w, "word").groupBy(*keys, name).agg(F.sum("ct").alias("n_words"), F.count(F.lit(1)).alias("n_unique"))
+
+
+def with_all_forms(vocabulary: DataFrame, dictionaries: DataFrame, names: list[str]) -> DataFrame:
+    """vocabulary (word, ...) with one full-form column per dictionary, a row for every combination of full forms; equal rows once. Words in no dictionary keep one row."""
+    for n in names:
+        forms = dictionaries.filter(F.col("dict") == n).select(F.col("acronym").alias("word"), F.col("fullform").alias(n)).distinct()
+        vocabulary = vocabulary.join(small(forms), "word", "left")
+    return vocabulary.distinct()
 
 
 def with_dictionaries(vocabulary: DataFrame, dictionaries: DataFrame, names: list[str]) -> DataFrame:
@@ -100,7 +111,7 @@ def expanded(df: DataFrame, text: str, table: DataFrame, out: str) -> DataFrame:
     if len(rows) <= MAP_ENTRIES:
         m = F.map_from_arrays(F.array(*[F.lit(r.word) for r in rows]), F.array(*[F.lit(r.fullform) for r in rows]))
         return df.withColumn(out, F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(m, w), w)), " "))
-    d = df.withColumn("_row", F.monotonically_increasing_id())
+    d = settled(df.withColumn("_row", F.monotonically_increasing_id()))  # both sides of the join must see the same numbers
     one = d.select("_row", F.posexplode(words).alias("_pos", "word")).join(table.groupBy("word").agg(F.min("fullform").alias("fullform")), "word", "left")
     back = one.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("fullform", "word").alias("w")))).alias("_ws"))
     return d.join(back, "_row", "left").withColumn(out, F.when(F.col(text).isNotNull(), F.coalesce(F.array_join("_ws.w", " "), F.lit("")))).drop("_row", "_ws")
@@ -112,7 +123,20 @@ def pattern_shares(counts: DataFrame, patterns: list[str] = T.SHARE_PATTERNS) ->
     return counts.agg(*[F.round(F.try_divide(F.sum(F.when(F.col("word").rlike(p), F.col("ct")).otherwise(0)), total), 6).alias(f"pattern_{i + 1}") for i, p in enumerate(patterns)], F.round(F.try_divide(F.sum(F.when(T.has_nonalpha(F.col("word")), F.col("ct")).otherwise(0)), total), 6).alias("nonalpha"))
 
 
-def document_stats(df: DataFrame, keys: list[str], text: str, idents: Column | None = None) -> DataFrame:
-    """Per key: documents, words, words per document."""
+def document_stats(df: DataFrame, keys: list[str], text: str, *, codes: str | None = None, flags: list[str] = [], idents: list[str] = []) -> DataFrame:
+    """Per key: documents, words, words per document; if they are named, the mean of codes (codes of a document), how many documents meet each of flags and any of them, and the sums of idents with their total."""
     n = T.word_count(F.col(text))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(n).cast("long").alias("n_words"), F.round(F.avg(n), 6).alias("avg_words"))
+    more = [F.round(F.avg(codes), 6).alias("avg_codes")] if codes else []
+    if flags:
+        either = F.greatest(*[F.coalesce(F.col(c), F.lit(False)) for c in flags]) if len(flags) > 1 else F.col(flags[0])
+        more += [*[F.count_if(F.col(c)).alias(f"n_{c}") for c in flags], F.count_if(either).alias("n_any_flag")]
+    if idents:
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        more += [*[F.sum(zero(c)).cast("long").alias(c) for c in idents], F.sum(sum((zero(c) for c in idents[1:]), zero(idents[0]))).cast("long").alias("n_idents")]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(n).cast("long").alias("n_words"), F.round(F.avg(n), 6).alias("avg_words"), *more)
+
+
+def count_values(t: DataFrame) -> DataFrame:
+    """Per tag: how many different numbers of occurrences its words have, and their share of the sum over tags."""
+    per = t.groupBy("tag").agg(F.countDistinct("ct").alias("n_counts"))
+    return per.select("tag", "n_counts", F.round(F.col("n_counts") / per.agg(F.sum("n_counts")).scalar(), 6).alias("share_counts"))

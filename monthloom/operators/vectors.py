@@ -53,6 +53,12 @@ def similarities(sums: DataFrame, dims: int, by: list[str] = [], digits: int = 6
     return d.select("entity", *by, "n", "n_out", *[F.round(c, digits).alias(k) for k, c in cols.items()])
 
 
+def with_pairs(sims: DataFrame) -> DataFrame:
+    """similarities with the numbers of pairs they are means of."""
+    pairs = lambda n: F.floor(n * (n - 1) / 2).cast("long")
+    return sims.withColumns({"own_pairs": pairs(F.col("n")), "out_pairs": pairs(F.col("n_out")), "invall_pairs": (F.col("n") * (F.col("n") + F.col("n_out"))).cast("long")})
+
+
 def lagged_sums(sums: DataFrame, dims: int, n: int, lag: int) -> DataFrame:
     """sums (entity, month_idx, n, s), dense, over the n months that end lag before; empty windows have n 0 and a zero vector."""
     w = Window.partitionBy("entity").orderBy("month_idx").rangeBetween(-(n + lag - 1), -lag)

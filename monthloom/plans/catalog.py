@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import panels, problems, whole, wide
+from . import panels, problems, sourced, whole, wide
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return panels.QUERIES | wide.QUERIES | whole.QUERIES | problems.QUERIES
+    return panels.QUERIES | wide.QUERIES | whole.QUERIES | sourced.QUERIES | problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return panels.ORACLE | wide.ORACLE | problems.ORACLE
+    return panels.ORACLE | wide.ORACLE | sourced.ORACLE | problems.ORACLE
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:

@@ -345,7 +345,8 @@ d(category, word) AS (VALUES {_values(CATEGORIES)}), c AS (SELECT entity, month_
 SELECT *, CAST(sum(n) OVER w AS BIGINT) AS n_all, CAST(sum(n) OVER w - n AS BIGINT) AS n_out, round(n / sum(n) OVER w, 6) AS share FROM c WINDOW w AS (PARTITION BY month_idx, category)""")
 def category_counts_panel(spark, sf):
     d = _docs(spark, sf).filter("source is not null and report_month is not null").select(F.col("source").alias("entity"), dates.month_idx(*dates.yyyymm(F.col("report_month")).values()).alias("month_idx"), "text")
-    c = tokens.dictionary_counts(tokens.word_counts(d, "text", ["entity", "month_idx"]), ["entity", "month_idx"], spark.createDataFrame(CATEGORIES, "category string, word string"), "category").select("entity", "month_idx", "category", F.col("n_words").alias("n"))
+    categories = spark.createDataFrame(CATEGORIES, "category string, word string")
+    c = tokens.dictionary_counts(tokens.word_counts(d, "text", ["entity", "month_idx"], only=categories), ["entity", "month_idx"], categories, "category").select("entity", "month_idx", "category", F.col("n_words").alias("n"))
     total = c.groupBy("month_idx", "category").agg(F.sum("n").alias("n_all"))
     return c.join(total, ["month_idx", "category"]).select("entity", "month_idx", "category", "n", "n_all", (F.col("n_all") - F.col("n")).alias("n_out"), F.round(F.col("n") / F.col("n_all"), 6).alias("share"))
 

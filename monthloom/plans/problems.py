@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import badrows, packed, rolling, timestamps
-from ..session import settled
+from ..session import settled, shared_dir
 from ..sources.tables import table
 
 REGISTERS = [
@@ -40,22 +42,42 @@ def p3_time_status(spark: SparkSession, sf: str) -> DataFrame:
     return _times(spark, sf, False).groupBy("register_name", "time_status").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-def _deliveries(spark: SparkSession, sf: str) -> DataFrame:
-    rows = timestamps.latest(table(spark, sf, "daily_counts"), "count_id", "loaded_ts", ["airport_code", "event_year", "event_month", "event_day", "faa_incidents", "ntsb_incidents"])
+def _deliveries(spark: SparkSession, sf: str, first: bool = False) -> DataFrame:
+    """One delivery of each count_id, the last or the first."""
+    rows, order = table(spark, sf, "daily_counts"), F.col("loaded_ts")
+    if first:
+        rows = rows.withColumn("loaded_ts", F.lit("2200-01-01").cast(rows.schema["loaded_ts"].dataType) - order)
+    rows = timestamps.latest(rows, "count_id", "loaded_ts", ["airport_code", "event_year", "event_month", "event_day", *COUNTS])
     two = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
     day = F.when(F.col("event_year").between(1, 9999) & F.col("event_month").between(1, 12) & F.col("event_day").between(1, 31), F.concat_ws("-", two("event_year", 4), two("event_month", 2), two("event_day", 2)).try_cast("date"))
     code = F.nullif(F.upper(F.trim("airport_code")), F.lit(""))
-    return rows.select(code.alias("airport_code"), day.alias("day"), "faa_incidents", "ntsb_incidents")
+    return rows.select("count_id", code.alias("airport_code"), day.alias("day"), *COUNTS)
+
+
+COUNTS, PERIODS = ["faa_incidents", "ntsb_incidents"], [7, 30]
+
+
+def _as_text(out: DataFrame) -> DataFrame:
+    return out.select("airport_code", F.date_format("day", "yyyy-MM-dd").alias("day_text"), *[F.round(c, 6).alias(c) for c in out.columns if "_avg_" in c], *[F.col(c).cast("long").alias(c) for c in out.columns if "_total_" in c])
 
 
 def p4_trailing_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Totals and daily averages over 7 and 30 days for every airport and day."""
-    out = rolling.trailing_totals(_deliveries(spark, sf), "airport_code", "day", ["faa_incidents", "ntsb_incidents"], [7, 30])
-    return out.select("airport_code", F.date_format("day", "yyyy-MM-dd").alias("day_text"), *[F.round(c, 6).alias(c) for c in out.columns if "_avg_" in c], *[F.col(c).cast("long").alias(c) for c in out.columns if "_total_" in c])
+    return _as_text(rolling.trailing_totals(_deliveries(spark, sf), "airport_code", "day", COUNTS, PERIODS))
+
+
+def p4_corrected_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from stored trees: built from the first delivery of each count, then corrected where a later one differs."""
+    first, last = settled(_deliveries(spark, sf, True)), settled(_deliveries(spark, sf))
+    trees = rolling.StoredTrees(spark, f"{shared_dir(spark)}/trees_{uuid.uuid4().hex}", COUNTS, PERIODS)
+    trees.build(rolling.daily_sums(first, "airport_code", "day", COUNTS))
+    gone, come = first.exceptAll(last).withColumn("sign", F.lit(-1)), last.exceptAll(first).withColumn("sign", F.lit(1))
+    trees.correct(rolling.daily_sums(gone.unionByName(come), "airport_code", "day", COUNTS, F.col("sign")))
+    return _as_text(trees.totals("airport_code"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    t = rolling.trailing_totals(_deliveries(spark, sf), "airport_code", "day", ["faa_incidents", "ntsb_incidents"], [7, 30])
+    t = rolling.trailing_totals(_deliveries(spark, sf), "airport_code", "day", COUNTS, PERIODS)
     week = F.col("faa_incidents_total_7d") + F.col("ntsb_incidents_total_7d")
     month = F.col("faa_incidents_total_30d") + F.col("ntsb_incidents_total_30d")
     return t.filter((week == 0) & (month >= 15)).select("airport_code", F.date_format("day", "yyyy-MM-dd").alias("day_text"))
@@ -113,6 +135,16 @@ SELECT line_id, reason FROM (
 """
 
 
+_NAMES = [f.name for f in badrows.REGISTER_B]
+_VALID_SQL = f"""
+WITH g AS (SELECT line_id, regexp_extract(raw_line, '^({_FIELD_SQL})' || repeat('\\|({_FIELD_SQL})', 6) || '$', [{", ".join(f"'{n}'" for n in _NAMES)}], 's') AS s
+  FROM ntsb_raw_lines WHERE raw_line IS NOT NULL AND line_id NOT IN (SELECT line_id FROM ({_P6_SQL}))),
+t AS (SELECT line_id, {", ".join(f"trim(regexp_replace(s.{n}, '[\t\r]', ' ', 'g')) AS {n}" for n in _NAMES)} FROM g),
+u AS (SELECT line_id, {", ".join(f"""nullif(CASE WHEN {n} LIKE '"%' THEN trim(replace({n}[2:length({n}) - 1], '""', '"')) ELSE {n} END, '') AS {n}""" for n in _NAMES)} FROM t)
+SELECT * REPLACE (TRY_CAST(latitude AS DOUBLE) AS latitude) FROM u
+"""
+
+
 def _leftovers(spark: SparkSession, sf: str) -> DataFrame:
     return timestamps.latest(table(spark, sf, "leftovers"), "row_id", "acn", ["atcadvisory", "firstpass"])
 
@@ -126,7 +158,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_time_status, p4_found, p4_trailing_totals, p6_found, p6_valid_rows, p7_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_time_status, p4_found, p4_trailing_totals, p4_corrected_totals, p6_found, p6_valid_rows, p7_found)}
 
 ORACLE = {
     "p4_found": _DAYS_SQL + "SELECT airport_code, strftime(day, '%Y-%m-%d') AS day_text FROM w WHERE f7 + n7 = 0 AND f30 + n30 >= 15",
@@ -137,4 +169,6 @@ ORACLE = {
       CAST(f7 AS BIGINT) AS faa_incidents_total_7d, CAST(n7 AS BIGINT) AS ntsb_incidents_total_7d,
       CAST(f30 AS BIGINT) AS faa_incidents_total_30d, CAST(n30 AS BIGINT) AS ntsb_incidents_total_30d FROM w""",
     "p6_found": _P6_SQL,
+    "p6_valid_rows": _VALID_SQL,
 }
+ORACLE["p4_corrected_totals"] = ORACLE["p4_trailing_totals"]

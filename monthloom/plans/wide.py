@@ -38,11 +38,45 @@ def ordered(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def renamed(df: DataFrame, suffix: str, skip: list[str]) -> DataFrame:
-    """df with lower-case names, blanks and tabs as underscores, and the suffix on all but the skipped columns."""
-    new = {c: c if c in skip else "_".join(filter(None, [c.strip().lower().replace(" ", "_").replace("\t", "_"), suffix])) for c in df.columns}
+    """df with lower-case names, flight classes in order, blanks and tabs as underscores, and the suffix on all but the skipped columns and those that have it."""
+    new = {}
+    for c in df.columns:
+        name = class_column(c).strip().lower().replace(" ", "_").replace("\t", "_")
+        new[c] = c if c in skip else name if suffix and name.endswith(suffix) else "_".join(filter(None, [name, suffix]))
     return df.withColumnsRenamed(new)
 
 
+# Words of flight classes and how they are shortened in column names.
+CLASS_WORDS = {"itinerant": "itnr", "general": "gen", "overflight": "ovrflt"}
+
+
+def class_column(name: str) -> str:
+    """The name of a column of flight volumes: of `CLASS<tab>RULES KIND` the second part comes first, joined, then the class; of `KIND Local` local comes first; other names stay."""
+    short = lambda text: [CLASS_WORDS.get(w, w) for w in text.split()]
+    if "\t" in name and ("IFR" in name or "VFR" in name):
+        kind, _, rules = name.lower().partition("\t")
+        return "_".join(["".join(short(rules)), *short(kind)])
+    if name.endswith("Local") and len(name.split()) == 2:
+        return "_".join(reversed(name.lower().split()))
+    return name
+
+
+def discovered(columns: list[str], having: list[str] = [], without: list[str] = [], not_ending: list[str] = [], skip: list[str] = []) -> list[str]:
+    """The columns whose names hold any of having (if given) and none of without, don't end with any of not_ending and aren't to be skipped."""
+    ok = lambda c: (not having or any(x in c for x in having)) and not any(x in c for x in without) and not c.endswith(tuple(not_ending)) and c not in skip
+    return [c for c in columns if ok(c)]
+
+
+#: A year that stands for none in the report table, and the first month that it doesn't hold in full.
+NO_YEAR, INCOMPLETE = 20, 2019 * 12 + 11
+
+
+def in_scope(df: DataFrame, month_idx: str) -> DataFrame:
+    """Rows of real years up to the last month that the table holds in full; null months are left out."""
+    year = F.floor((F.col(month_idx) - 1) / 12)
+    return df.filter((year != NO_YEAR) & (F.col(month_idx) < INCOMPLETE))
+
+
 def shortened(df: DataFrame, short: dict[str, str]) -> DataFrame:
     """df with parts of its column names replaced, in the order given."""
     new = {}

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: No table above this many rows is ever broadcast by a hint of ours.
-BROADCAST_ROWS = 200_000
+#: No table above so many rows, or so many characters and bytes, is ever broadcast by a hint of ours.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -47,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="monthloom_")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -58,9 +61,22 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count that stops at the limit proves it small; else df as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _is_small(df: DataFrame, limit: int) -> bool:
+    """Whether df has at most limit rows, of at most BROADCAST_BYTES together; what is measured stops at the limit."""
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif f.dataType.typeName() in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    r = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("b")).first()
+    return r["n"] <= limit and r["b"] <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df with a broadcast hint if a count and a sum of sizes that stop at the limit prove it small; else df as it is, for a shuffled join."""
+    return F.broadcast(df) if _is_small(df, BROADCAST_ROWS if limit is None else limit) else df
 
 
 
@@ -70,7 +86,7 @@ SALTS = 16
 
 def spread_lookup(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """rows left-joined to found, which has one row a key: broadcast if proven small, else each key's rows are spread over SALTS parts, so that a key that very many rows share isn't one task."""
-    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if _is_small(found, BROADCAST_ROWS):
         return rows.join(F.broadcast(found), key, "left")
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))  # from the row itself, so that a task run again gives the same
     return salted.join(found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"], "left").drop("_salt")

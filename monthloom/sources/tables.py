@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import re
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import importable
+from ..session import importable, small
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,7 +35,7 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], load_
 
 
 def csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType, *, sep: str = ",", encoding: str = "UTF-8", skip: str | None = None) -> DataFrame:
-    """Delimited text with a header row and a declared schema; header names are trimmed by the schema's own. skip: a glob of file names left out of a folder."""
+    """Delimited text with a header row and a declared schema; header names are trimmed by the schema's own. skip: a glob of file names left out of a folder. Encodings beyond the usual four (cp437 and the like) need the session's switch for legacy charsets, which is then set."""
     if encoding.lower() not in ("utf-8", "us-ascii", "iso-8859-1", "utf-16"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", sep).option("encoding", encoding).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
@@ -50,6 +55,59 @@ def csv_second_header(spark: SparkSession, path: str | list[str], schema: str |
     return rows.filter(~named).select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
 
 
+def excel(spark: SparkSession, path: str, schema: str | T.StructType, *, sheet: int = 1, skip_rows: int = 1) -> DataFrame:
+    """A sheet of the .xlsx files at a path, one row per sheet row after the first skip_rows; columns by place, values cast to the schema, what can't be cast null.
+
+    Each file is read by one task, as a workbook can't be split. Missing cells are null; formulas give their stored values; a workbook without the sheet gives no rows.
+    """
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    importable(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                rows = [[r.get(i) for i in range(len(fields))] for r in _sheet_rows(raw, sheet)][skip_rows:]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(fields))], names=[f.name for f in fields])
+
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, text).select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
+
+
+def _sheet_rows(raw: bytes, sheet: int) -> list[dict[int, str]]:
+    """The cells of a sheet's rows by their column's place."""
+    book = zipfile.ZipFile(io.BytesIO(raw))
+    have = set(book.namelist())
+    local = lambda e: e.tag.rpartition("}")[2]
+    texts = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
+    shared = [texts(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if local(e) == "si"] if "xl/sharedStrings.xml" in have else []
+    name = f"xl/worksheets/sheet{sheet}.xml"
+    out = []
+    for row in ElementTree.fromstring(book.read(name)).iter() if name in have else []:
+        if local(row) != "row":
+            continue
+        cells, at = {}, -1
+        for c in row:
+            letters = re.match("[A-Z]*", c.get("r") or "").group()
+            at = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters))) - 1 if letters else at + 1
+            value = next((e.text for e in c if local(e) == "v"), None)
+            if c.get("t") == "inlineStr":
+                value = texts(c)
+            elif c.get("t") == "s" and value is not None:
+                value = shared[int(value)]
+            if value is not None:
+                cells[at] = value
+        out.append(cells)
+    return out
+
+
+def html_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, row, cells): the rows of all tables of a page in order, from 0, with the texts of their cells; tags inside cells are taken out, white space made one blank. Null pages and rows without cells give none."""
+    rows = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "_r"))
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.regexp_replace(c, r"(?s)<[^>]*>", " "), F.lit("&nbsp;"), F.lit(" ")), "&amp;", "&"), r"\s+", " "))
+    cells = F.transform(F.regexp_extract_all(F.col("_r"), F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), plain)
+    return rows.select(key, "row", cells.alias("cells")).filter(F.size("cells") > 0)
+
+
 def link_words(pages: DataFrame, html: str, first: str, last: str) -> DataFrame:
     """The distinct lower-case words of a page's link texts between two texts, both included.
 
@@ -69,7 +127,7 @@ def ragged_groups(cells: DataFrame) -> DataFrame:
     heads = cells.select("col_idx", "header").distinct()
     w = Window.orderBy("col_idx").rowsBetween(1, Window.unboundedFollowing)
     named = heads.withColumn("category", F.first("header", ignorenulls=True).over(w))
-    return cells.join(F.broadcast(named.select("col_idx", "category")), "col_idx").filter(F.col("category").isNotNull() & F.col("word").isNotNull() & (F.col("word") != "")).select("category", "word").distinct()
+    return cells.join(small(named.select("col_idx", "category")), "col_idx").filter(F.col("category").isNotNull() & F.col("word").isNotNull() & (F.col("word") != "")).select("category", "word").distinct()
 
 
 def dictionary(df: DataFrame, name: str, acronym: str, fullform: str, ordinal: str | None = None, *, strip_parens: bool = False, first_only: bool = False) -> DataFrame:

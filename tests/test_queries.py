@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from monthloom.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
@@ -23,12 +24,15 @@ def _plain(x):
     return None if x is None else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_same_rows(spark, sql, name):
-    df = entry.queries()[name](spark, SF)
+    same_rows(catalog.queries()[name](spark, SF), sql, catalog.oracle_sql()[name])
+
+
+def same_rows(df, sql, text):
     cols = sorted(df.columns)
     got = sorted((tuple(_plain(r[c]) for c in cols) for r in df.collect()), key=str)
-    res = sql.execute(entry.oracle_sql()[name])
+    res = sql.execute(text)
     have = [d[0] for d in res.description]
     assert sorted(have) == cols
     want = sorted((tuple(_plain(r[have.index(c)]) for c in cols) for r in res.fetchall()), key=str)

@@ -44,19 +44,37 @@ def test_empty(spark):
     assert rolling.trailing_totals(spark.createDataFrame([], "e string, d date, v int"), "e", "d", ["v"]).count() == 0
 
 
-def test_late_rows_change_stored_trees(spark):
-    rows, late = _rows(2, 150, 900), [("a", dt.date(2000, 2, 2), 9), ("b", dt.date(2000, 3, 3), -1)]
-    df, more = (spark.createDataFrame(x, "e string, d date, v int") for x in (rows, late))
-    one, two = (rolling.daily_sums(x, "e", "d", ["v"]) for x in (df, more))
-    nodes = rolling.tree_nodes(one, [7, 30], 1)
-    fixed = rolling.corrected(nodes, two, [7, 30], 1)
-    changed = fixed.alias("a").join(nodes.alias("b"), ["entity", "shard", "node"], "left").filter("b.m0 is null or a.m0 != b.m0").count()
-    assert changed <= 2 * 2 * rolling.LEAVES.bit_length()
-    bounds = rolling._bounds(one)
-    got = {(r.entity, r.day): (r.v_total_7d, r.v_total_30d) for r in rolling.totals_from_nodes(fixed, bounds, ["v"]).collect()}
+def test_long_periods(spark):
+    rows = _rows(3, 60, 1200)
+    df = spark.createDataFrame(rows, "e string, d date, v int")
+    got = {(r.e, r.day): (r.v_total_3d, r.v_total_700d) for r in rolling.trailing_totals(df, "e", "d", ["v"], [3, 700]).collect()}
+    assert got == _brute(rows, (3, 700))
+
+
+def test_late_rows_change_stored_trees(spark, tmp_path):
+    rows, late = _rows(2, 150, 900), [("a", dt.date(2000, 2, 2), 9), ("b", dt.date(2000, 3, 3), -1), ("new", dt.date(2003, 3, 3), 4)]
+    one, two = (rolling.daily_sums(spark.createDataFrame(x, "e string, d date, v int"), "e", "d", ["v"]) for x in (rows, late))
+    trees = rolling.StoredTrees(spark, str(tmp_path / "t"), ["v"], [7, 30]).build(one)
+    before = {p.name: {f.name for f in p.iterdir()} for p in (tmp_path / "t").glob("part=*")}
+    old = spark.createDataFrame(trees.nodes().collect(), trees.nodes().schema)
+    touched = trees.correct(two)
+    after = {p.name: {f.name for f in p.iterdir()} for p in (tmp_path / "t").glob("part=*")}
+    assert {k for k in after if after[k] != before.get(k)} == {f"part={k}" for k in touched} and len(touched) <= 2 * 3
+    changed = trees.nodes().alias("a").join(old.alias("b"), ["entity", "shard", "node"], "left").filter("b.m0 is null or a.m0 != b.m0").count()
+    assert changed <= 3 * 2 * rolling.LEAVES.bit_length()
+    got = {(r.entity, r.day): (r.v_total_7d, r.v_total_30d) for r in trees.totals().collect()}
     assert got == _brute(rows + late, (7, 30))
 
 
+def test_rows_taken_back(spark, tmp_path):
+    rows = [("a", dt.date(2000, 1, 1), 5, 1), ("a", dt.date(2000, 1, 5), 2, 1), ("a", dt.date(2000, 1, 9), 1, 1)]
+    daily = lambda x: rolling.daily_sums(spark.createDataFrame(x, "e string, d date, v int, s int"), "e", "d", ["v"], F.col("s"))
+    trees = rolling.StoredTrees(spark, str(tmp_path / "t"), ["v"], [7]).build(daily(rows))
+    trees.correct(daily([("a", dt.date(2000, 1, 9), 1, -1), ("a", dt.date(2000, 1, 5), 2, -1), ("a", dt.date(2000, 1, 6), 3, 1)]))
+    assert [(str(r.day), r.v_total_7d) for r in trees.totals().orderBy("day").collect()] == [(f"2000-01-0{i}", 5.0 if i < 6 else 8.0) for i in range(1, 7)]
+    assert trees.correct(daily([])) == []
+
+
 def test_tree_update_and_query():
     rnd = np.random.default_rng(1)
     leaves = rnd.integers(0, 9, (1, 3, 16)).astype(float)
@@ -72,4 +90,4 @@ def test_tree_update_and_query():
 def test_hot_entity_is_spread_over_shards(spark):
     df = spark.createDataFrame([("hot", dt.date(1990, 1, 1) + dt.timedelta(i), 1) for i in range(3000)], "e string, d date, v int")
     daily = rolling.daily_sums(df, "e", "d", ["v"])
-    assert rolling._placed(daily, 29).groupBy("shard").count().agg(F.max("count")).first()[0] <= rolling.LEAVES
+    assert rolling._placed(daily, [7, 30]).groupBy("shard").count().agg(F.max("count")).first()[0] <= rolling.LEAVES

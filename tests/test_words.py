@@ -67,8 +67,9 @@ def test_expansion(spark):
     assert {tuple(r) for r in advisory.per_code(df, "id", "found").collect()} == {(1, "ATL", "Center", 2), (1, "SFO", "Ramp", 1), (2, None, None, 0), (3, "ATL", "Center", 1)}
     counts = {r.id: (r.center_ident_ct, r.tower_ident_ct) for r in advisory.type_counts(df, "id", "found").collect()}
     assert counts == {1: (1, 1), 3: (1, 0)}
-    own, other = advisory.by_code(F.col("found"), ["ATL"])
-    assert [(len(r.a), len(r.b)) for r in df.select(own.alias("a"), other.alias("b")).collect()] == [(3, 1), (0, 0), (2, 0)]
+    listed = advisory.by_code(df, "id", "found", spark.createDataFrame([("ATL",), ("ATL",), (None,)], "c string"), "c")
+    assert {r.id: (len(r.listed), len(r.others)) for r in listed.collect()} == {1: (3, 1), 2: (0, 0), 3: (2, 0)}
+    assert advisory.by_code(df.limit(0), "id", "found", spark.createDataFrame([], "c string"), "c").count() == 0
     s = df.select("id", *advisory.slots(F.col("found"), "atc")).filter("id = 1").first()
     assert (s.atc_code1, s.atc_repeated1, s.atc_repeated0, s.atc_code5) == ("ATL", True, False, "")
 
