@@ -280,8 +280,8 @@ _FIRST, _LAST = 2000 * 12 + 1, 2004 * 12 + 12
 
 @query(f"""WITH {_REPORTS_SQL}, e AS (SELECT DISTINCT facility_code AS entity FROM r WHERE facility_code IS NOT NULL), g AS (SELECT entity, CAST(m AS INTEGER) AS month_idx FROM e CROSS JOIN (SELECT unnest(range({_FIRST}, {_LAST + 1})) AS m)),
 f AS (SELECT facility_code AS entity, month_idx, count(*) AS n_docs, sum(n_codes) AS codes FROM r GROUP BY 1, 2), p AS (SELECT g.*, coalesce(n_docs, 0) AS n_docs, coalesce(codes, 0) AS codes FROM g LEFT JOIN f USING (entity, month_idx)),
-x AS (SELECT entity, month_idx, {panels._window_sql(3, 1, ["n_docs", "codes"])}, {panels._window_sql(12, 1, ["n_docs", "codes"])} FROM p)
-SELECT entity, month_idx, {", ".join(f"round(codes_{n}m / NULLIF(n_docs_{n}m, 0), 6) AS codes_per_report_{n}m" for n in (3, 12))} FROM x""")
+y AS (SELECT entity, month_idx, {panels._window_sql(3, 1, ["n_docs", "codes"])}, {panels._window_sql(12, 1, ["n_docs", "codes"])} FROM p)
+SELECT entity, month_idx, {", ".join(f"round(codes_{n}m / NULLIF(n_docs_{n}m, 0), 6) AS codes_per_report_{n}m" for n in (3, 12))} FROM y""")
 def codes_per_report(spark, sf):
     """Codes per report over windows, from the windows' sums."""
     r = settled(_coded_reports(spark, sf))
