@@ -27,6 +27,8 @@ DRAWS = 2
 FINISH = 20_000
 #: Records of one table with the same key that one task of the candidates' join takes.
 HOT = 2_000
+#: Buckets by which hot keys are looked for.
+BUCKETS = 1 << 16
 
 
 def _compared(a: str = "a", b: str = "b") -> dict[str, Column]:
@@ -78,7 +80,13 @@ def _block_keys(df: DataFrame, out: str, shifts: tuple[int, ...]) -> DataFrame:
 
 def _split(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """a and b (key, id each) with what they are to be joined by: keys that more than HOT records of a table share are cut into parts on that side, and the other side's records go to each part."""
-    counts = lambda df, n: df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias(n)).filter(F.col(n) > 1)
+    def counts(df: DataFrame, n: str) -> DataFrame:
+        # a key of more than HOT records lies in a bucket of more, so only the keys of such buckets are counted each
+        bucket = F.pmod("key", F.lit(BUCKETS)).alias("bucket")
+        full = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("bucket")
+        some = df.withColumn("bucket", bucket).join(F.broadcast(full), "bucket", "left_semi")  # at most BUCKETS rows
+        return some.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias(n)).filter(F.col(n) > 1)
+
     hot = settled(counts(a, "pa").join(counts(b, "pb"), "key", "full").select("key", F.coalesce("pa", F.lit(1)).alias("pa"), F.coalesce("pb", F.lit(1)).alias("pb")))
     if hot.limit(1).count() == 0:
         return a, b, ["key"]

@@ -109,6 +109,21 @@ def p8_fill_report(spark: SparkSession, sf: str) -> DataFrame:
     return used.groupBy(F.floor(F.col("used") * 10 / packing.CAPACITY).alias("tenths_full")).agg(F.count(F.lit(1)).alias("n_containers"), F.sum(packing.CAPACITY - F.col("used")).alias("unused_tokens"))
 
 
+def p8_fill_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: documents, those assigned, tokens, those assigned, containers above capacity, documents divided without need, divided ones whose pieces aren't as few as can be."""
+    sizes = settled(packing.token_counts(table(spark, sf, "documents"), "doc_id", "text"))
+    placed = settled(packing.fill(sizes, "doc_id", "n_tokens"))
+    cap = F.lit(packing.CAPACITY)
+    over = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > cap).alias("n_over_capacity"))
+    whole = sizes.agg(F.count(F.lit(1)).alias("n_documents"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
+    per = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("t"))
+    least = F.greatest(F.ceil(F.col("t") / cap), F.lit(1))
+    each = per.agg(F.count(F.lit(1)).alias("n_assigned"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_tokens_assigned"), F.count_if((F.col("t") <= cap) & (F.col("pieces") > 1)).alias("n_needless"), F.count_if(F.col("pieces") > least).alias("n_too_many_pieces"))
+    scalars = lambda df: [df.select(c).scalar().alias(c) for c in df.columns]
+    got = spark.range(1).select(*scalars(whole), *scalars(each), *scalars(over))
+    return got.select("n_documents", (F.col("n_documents") - F.col("n_assigned")).alias("n_missing"), (F.col("n_tokens") - F.col("n_tokens_assigned")).alias("tokens_missing"), "n_over_capacity", "n_needless", "n_too_many_pieces")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text").select("item_id", "doc_id")
 
@@ -126,7 +141,7 @@ def p10_look_classes(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.look_classes(table(spark, sf, "documents"), "doc_id", "text", lookalike.confusables(CONFUSABLES))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched_values, p2_found, p2_term_frequencies, p5_found, p5_links, p8_containers, p8_fill_report, p9_found, p10_found, p10_look_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched_values, p2_found, p2_term_frequencies, p5_found, p5_links, p8_containers, p8_fill_report, p8_fill_checks, p9_found, p10_found, p10_look_classes)}
 
 _TERMS_SQL = """
 WITH one AS (SELECT * FROM asrs_reports QUALIFY row_number() OVER (PARTITION BY acn ORDER BY received_ts DESC) = 1),
@@ -141,6 +156,7 @@ c AS (SELECT field_name, term, count(*) AS n_occurrences, count(DISTINCT acn) AS
 """
 
 ORACLE: dict[str, str] = {
+    "p8_fill_checks": "SELECT count(*) AS n_documents, 0 AS n_missing, 0 AS tokens_missing, 0 AS n_over_capacity, 0 AS n_needless, 0 AS n_too_many_pieces FROM documents",
     "p2_found": _TERMS_SQL + "SELECT c.field_name, term, CASE WHEN n_records < 3 THEN 'rare' ELSE 'common' END AS freq_mark FROM c JOIN n ON c.field_name = n.field_name WHERE n_records < 3 OR n_records > 0.4 * n_all",
     "p2_term_frequencies": _TERMS_SQL + "SELECT field_name, term, CAST(n_occurrences AS BIGINT) AS n_occurrences, CAST(n_records AS BIGINT) AS n_records FROM c",
 }
