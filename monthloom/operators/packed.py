@@ -25,7 +25,7 @@ from ..session import settled
 
 #: Marks that may part values outside quotes; a point never does.
 MARKS = ";,&|/\n\t\r"
-#: A word or value has a probability of its own if it makes up at least one in so many; rarer ones are scored as new. So a table never holds more rows, whatever the column holds.
+#: A word or value has a probability of its own if it counts at least as much as one in so many pieces; rarer ones are scored as new. That bounds the tables, whatever the column holds.
 SHARE = 1 << 17
 #: Words of a value that the table of lengths tells apart; longer ones share the last place.
 MOST_WORDS = 64
@@ -357,15 +357,17 @@ def _tables(counts: DataFrame) -> DataFrame:
     return g.select(F.explode(cells).alias("c")).select("c.*").filter("key is not null and x > 0").groupBy("name", "key").agg(F.sum("x").alias("x"))
 
 
-def _learnt_model(tables: DataFrame, arity: int | None, whole: bool) -> Model:
-    tables = settled(tables)
-    sums = tables.groupBy("name").agg(F.sum("x").alias("x"), F.sum(F.least(F.col("x"), F.lit(1.0))).alias("n")).collect()
-    total, different = {r["name"]: r["x"] for r in sums}, {r["name"]: r["n"] for r in sums}
-    least = F.create_map(*[x for k, v in total.items() for x in (F.lit(k), F.lit(v / SHARE))]) if total else F.lit(None)
+def _learnt_model(tables: DataFrame, least: float, arity: int | None, whole: bool) -> Model:
+    """The model of the sums. Those below least aren't collected: as it is a SHARE-th of the pieces, no more than SHARE rows of a table a word of a piece come; the totals, in the same job, are over all."""
+    sums = tables.groupBy("name").agg(F.sum("x").alias("x"), F.sum(F.least(F.col("x"), F.lit(1.0))).alias("n"))
+    rows = tables.filter(F.col("x") >= least).select("name", "key", "x", F.lit(None).cast("double").alias("n")).unionByName(sums.select("name", F.lit(None).cast("string").alias("key"), "x", "n"))
+    total, different = {}, {}
     got: dict[str, dict[str, float]] = {k: {} for k in ("head", "inner", "begun", "length", "value", "parts", "stands", "members")}
-    # at most SHARE rows of each name
-    for r in tables.filter(F.col("x") >= F.try_element_at(least, "name")).collect() if total else []:
-        got[r["name"]][r["key"]] = r["x"]
+    for r in rows.collect():
+        if r["key"] is None:
+            total[r["name"]], different[r["name"]] = r["x"], r["n"]
+        else:
+            got[r["name"]][r["key"]] = r["x"]
     m = Model(arity)
     # a word's first piece says nothing: that share goes to new words, many where many different words are seen and few where few are
     n_words = different.get("head", 0.0) + different.get("inner", 0.0)
@@ -447,9 +449,10 @@ def cut(df: DataFrame, key: str, column: str, arity: int | None = None) -> DataF
 
 def learnt(texts: DataFrame, arity: int | None = None, rounds: int = ROUNDS) -> Model:
     """The model of the texts that cut has cut. The first count takes every mark as one that parts (or every arity-th, in texts whose count fits); whole values count from the second round on, since the first only assumed them."""
-    model = _learnt_model(_tables(_pass(texts, Model(arity), True)), arity, False)
-    for turn in range(rounds):
-        model = _learnt_model(_tables(_pass(texts, model, False)), arity, True)
+    least = (texts.agg(F.sum(F.size("parts"))).first()[0] or 0) / SHARE
+    model = _learnt_model(_tables(_pass(texts, Model(arity), True)), least, arity, False)
+    for _ in range(rounds):
+        model = _learnt_model(_tables(_pass(texts, model, False)), least, arity, True)
     return model
 
 

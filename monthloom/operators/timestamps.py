@@ -28,8 +28,8 @@ ZONE_MINUTES = {"Z": 0, "UTC": 0, "GMT": 0, "EST": -300, "EDT": -240, "CST": -36
 
 #: Two-digit years from this one on are 19xx.
 PIVOT = 78
-#: Local years that share a row of the interval table.
-BUCKET_YEARS = 4
+#: Local years that share a row of the interval table; more make the table smaller and its rows longer.
+BUCKET_YEARS = 16
 #: Beyond the listed changes of a zone its rule is probed in steps of so many days; no rule changes twice within them.
 PROBE_DAYS = 21
 
