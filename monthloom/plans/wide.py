@@ -123,9 +123,12 @@ def register_panel(spark: SparkSession, sf: str, every: bool = False) -> tuple[D
     return panel.dense(lookup.allowed(u, "entity", top), top, FIRST, LAST, measures, 0), top
 
 
-def reports(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    """One row per report with its month_idx, null unless the date is written as documented, or (every) in any readable form."""
-    r = latest(table(spark, sf, "asrs_reports"), "acn", "received_ts", ["report_date", "facility_code", "narrative", "callback", "synopsis", "combined"])
+def reports(spark: SparkSession, sf: str, every: bool = False, counted: bool = False) -> DataFrame:
+    """One row per report with its month_idx, null unless the date is written as documented, or (every) in any readable form. counted: the number of words of the narrative and whether there is a callback in place of the texts, which so are never shuffled."""
+    r, facts = table(spark, sf, "asrs_reports"), ["narrative", "callback", "synopsis", "combined"]
+    if counted:
+        r, facts = r.withColumns({"n_words": text.word_count(F.col("narrative")), "with_callback": F.col("callback").isNotNull()}), ["n_words", "with_callback"]
+    r = latest(r, "acn", "received_ts", ["report_date", "facility_code", *facts])
     if every:
         r = _any_day(r, "report_date", "facility_code", (table(spark, sf, "airport_reference"), "loc_id"), day_needed=False)
         parts = F.split(F.coalesce(F.date_format("local_day", "yyyy-MM"), F.when(F.col("time_status") == "month", F.col("norm_text"))), "-")
@@ -135,8 +138,8 @@ def reports(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
 
 def report_panel(spark: SparkSession, sf: str, entities: DataFrame, every: bool = False) -> DataFrame:
     """(entity, month_idx, WORDS) of the reports of these entities in months written as documented, or of every readable date."""
-    r = reports(spark, sf, every).filter("month_idx is not null")
-    d = r.select(F.col("facility_code").alias("entity"), "month_idx", text.word_count(F.col("narrative")).alias("_w"), F.col("callback").isNotNull().alias("_c"))
+    r = reports(spark, sf, every, counted=True).filter("month_idx is not null")
+    d = r.select(F.col("facility_code").alias("entity"), "month_idx", F.col("n_words").alias("_w"), F.col("with_callback").alias("_c"))
     return lookup.allowed(d, "entity", entities).groupBy("entity", "month_idx").agg(F.count(F.lit(1)).alias("n_reports"), F.sum("_w").cast("long").alias("n_words"), F.count_if("_c").alias("n_callbacks"))
 
 
