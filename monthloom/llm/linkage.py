@@ -108,9 +108,8 @@ def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("a_id", "b_id", *[c.cast("int").alias(k) for k, c in _compared().items()])
 
 
-def random_levels(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Level patterns of random pairs that are no candidates, about DRAWS for each record of the smaller table: records meet where their hashes fall into one of as many places as the larger has records."""
-    places = max(a.count(), b.count(), 1)
+def random_levels(a: DataFrame, b: DataFrame, pairs: DataFrame, places: int) -> DataFrame:
+    """Level patterns of random pairs that are no candidates, about DRAWS for each record of the smaller table: records meet where their hashes fall into the same of places, the number of records of the larger."""
     draw = lambda df: df.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("_place", F.pmod(F.xxhash64("id", F.col("_draw") + (F.lit(0) if df is a else F.lit(1000))), F.lit(places)))
     left, right = draw(a).alias("a"), draw(b).alias("b")
     met = left.join(right, (F.col("a._draw") == F.col("b._draw")) & (F.col("a._place") == F.col("b._place"))).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), *[c.cast("int").alias(k) for k, c in _compared().items()])
@@ -166,7 +165,8 @@ def scored(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     pat, counts = _patterns(pairs)
     if not len(pat):
         return pairs.withColumn("confidence", F.lit(0.0))
-    post, *_ = estimated(pat, counts, list(LEVELS.values()), _patterns(random_levels(a, b, pairs)), float(max(a.count(), 1)) * max(b.count(), 1))
+    n_a, n_b = max(a.count(), 1), max(b.count(), 1)
+    post, *_ = estimated(pat, counts, list(LEVELS.values()), _patterns(random_levels(a, b, pairs, max(n_a, n_b))), float(n_a) * n_b)
     known = pairs.sparkSession.createDataFrame([(*map(int, p), float(c)) for p, c in zip(pat, post)], ", ".join(f"{c} int" for c in LEVELS) + ", confidence double")
     return pairs.join(F.broadcast(known), list(LEVELS))  # one row a pattern
 
