@@ -505,7 +505,7 @@ def map_to_entries(df: DataFrame, name: str, city: str, state: str, reference: D
     # a null and an empty text aren't the same
     tid = F.xxhash64(*[x for c in typed.values() for x in (c, c.isNull())])
     rows = df.select(*keep, tid.alias("_tid"), *[c.alias(f"_{k}") for k, c in typed.items()])
-    triples = settled(rows.select(F.col("_tid").alias("tid"), *[F.col(f"_{k}").alias(k) for k in typed]).distinct())
+    triples = rows.select(F.col("_tid").alias("tid"), *[F.col(f"_{k}").alias(k) for k in typed]).distinct()
     found = settled(resolved(triples, reference, codes).withColumnRenamed("tid", "_tid"))
     return spread_lookup(rows.select(*keep, "_tid"), found, "_tid").drop("_tid")
 

@@ -202,5 +202,5 @@ def linked(a: DataFrame, b: DataFrame) -> DataFrame:
     must be unique by id, and the tables settled, since every pass reads them. Links below the confidence LEAST are left out.
     """
     pairs = scored(settled(candidates(a, b)), a, b)
-    good = settled(pairs.filter(F.col("confidence") >= LEAST).withColumn("gap", -sum((F.greatest(F.col(c), F.lit(0)) for c in LEVELS), F.lit(0))))
+    good = pairs.filter(F.col("confidence") >= LEAST).withColumn("gap", -sum((F.greatest(F.col(c), F.lit(0)) for c in LEVELS), F.lit(0)))
     return one_to_one(good).select("a_id", "b_id", "confidence")
