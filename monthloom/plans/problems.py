@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,11 +152,14 @@ def _leftovers(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = settled(_leftovers(spark, sf))  # the learning rounds read it again
-    parts = []
-    for name, arity in (("atcadvisory", None), ("firstpass", 3)):
+
+    def split(name: str, arity: int | None) -> DataFrame:
         out = packed.split_values(rows, "row_id", name, arity).filter("n_values >= 2")
-        parts.append(out.select("row_id", F.lit(name).alias("field_name"), "pos", "item"))
-    return parts[0].unionByName(parts[1])
+        return out.select("row_id", F.lit(name).alias("field_name"), "pos", "item")
+
+    with ThreadPoolExecutor(2) as both:  # the short jobs of one column's rounds run beside those of the other
+        first, second = both.map(split, ("atcadvisory", "firstpass"), (None, 3))
+    return first.unionByName(second)
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_time_status, p4_found, p4_trailing_totals, p4_corrected_totals, p6_found, p6_valid_rows, p7_found)}
