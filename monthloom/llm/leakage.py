@@ -244,8 +244,9 @@ class Index:
         centres = some[rnd.choice(len(some), n, replace=False)].copy()
         for _ in range(FITS):
             near = cls._nearest(some, centres)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, near, some)
+            sums, held = np.zeros_like(centres), np.bincount(near, minlength=n)
+            there = held > 0
+            sums[there] = np.add.reduceat(some[np.argsort(near, kind="stable")], (np.cumsum(held) - held)[there])
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = np.where(norm > 0, sums / np.maximum(norm, 1e-9), centres)
         near = cls._nearest(vectors, centres)
