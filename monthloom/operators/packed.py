@@ -471,7 +471,7 @@ def split_values(df: DataFrame, key: str, column: str, arity: int | None = None,
 
     arity None: values are texts of any number of pieces; marks inside one are kept. Else a value has that many members, given as the non-empty ones joined by one blank; values and
     members may be parted by marks, brackets or both. Null and empty texts give no rows; empty values are skipped and not counted; repeated rows give repeated values; a quote that isn't closed
-    is an ordinary character; a value may have any number of pieces; extra columns are ignored.
+    is an ordinary character; a value may have any number of pieces, so that the time for a text grows with the square of its pieces; extra columns are ignored.
     """
     texts = settled(cut(df, key, column, arity))  # every round reads it
     model = df.sparkSession.sparkContext.broadcast(learnt(texts, arity, rounds))
