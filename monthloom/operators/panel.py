@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +59,35 @@ def ratios(df: DataFrame, pairs: dict[str, tuple[str, str]], digits: int = 6) ->
     return df.select("*", *[F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), digits).alias(k) for k, (a, b) in pairs.items()])
 
 
+def lagged_arrays(values: np.ndarray, windows: list[int], lag: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As lagged, for the months of one entity as an array (measures, months) without gaps or nulls: for each window the sums and which months are complete, which holds for all measures."""
+    months = values.shape[1]
+    upto = np.zeros((values.shape[0], months + 1), np.int64)
+    np.cumsum(values, axis=1, out=upto[:, 1:])
+    at, out = np.arange(months), []
+    for n in windows:
+        begin, end = at - (n + lag - 1), at - lag + 1
+        ok = (begin >= 0) & (end <= months)
+        out.append((upto[:, end.clip(0, months)] - upto[:, begin.clip(0, months)], ok))
+    return out
+
+
+def rounded_ratios(a: np.ndarray, b: np.ndarray, digits: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """As ratios, for arrays of whole numbers of 0 or more: the quotients, half up in their decimal form as Spark rounds, and where they exist (b isn't 0)."""
+    ok = b != 0
+    x = np.divide(a.astype(np.float64), b.astype(np.float64), out=np.zeros(a.shape), where=ok)
+    scale = float(10**digits)
+    y = x * scale
+    down = np.floor(y)
+    out = (down + (y - down > 0.5)) / scale
+    near = np.abs(y - down - 0.5) <= 1e-6 + y * 1e-15  # the product may be off by a few last bits
+    if near.any():
+        each, where = np.unique(x[near], return_inverse=True)
+        step = Decimal(1).scaleb(-digits)
+        out[near] = np.array([float(Decimal(repr(v)).quantize(step, ROUND_HALF_UP)) for v in each.tolist()])[where.reshape(-1)]
+    return out, ok
+
+
 def united(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     """Full outer join of any number of frames on the same keys, which come out once; a column that several frames have is taken from the first."""
     out, have = frames[0], set(frames[0].columns)

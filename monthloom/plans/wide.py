@@ -136,17 +136,17 @@ def reports(spark: SparkSession, sf: str, every: bool = False, counted: bool = F
     return r.withColumn("month_idx", F.when(F.col("report_date").rlike(r"^\d{6}$"), dates.month_idx(*dates.yyyymm(F.col("report_date")).values())))
 
 
-def report_panel(spark: SparkSession, sf: str, entities: DataFrame, every: bool = False) -> DataFrame:
-    """(entity, month_idx, WORDS) of the reports of these entities in months written as documented, or of every readable date."""
-    r = reports(spark, sf, every, counted=True).filter("month_idx is not null")
+def report_panel(spark: SparkSession, sf: str, entities: DataFrame, every: bool = False, counted: DataFrame | None = None) -> DataFrame:
+    """(entity, month_idx, WORDS) of the reports of these entities in months written as documented, or of every readable date. counted: the reports, if they are at hand."""
+    r = (reports(spark, sf, every, counted=True) if counted is None else counted).filter("month_idx is not null")
     d = r.select(F.col("facility_code").alias("entity"), "month_idx", F.col("n_words").alias("_w"), F.col("with_callback").alias("_c"))
     return lookup.allowed(d, "entity", entities).groupBy("entity", "month_idx").agg(F.count(F.lit(1)).alias("n_reports"), F.sum("_w").cast("long").alias("n_words"), F.count_if("_c").alias("n_callbacks"))
 
 
-def report_windows(spark: SparkSession, sf: str, lag: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(entity, month_idx, register counts, windows of WORDS, quotients) and the entities."""
+def report_windows(spark: SparkSession, sf: str, lag: int, every: bool = False, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entity, month_idx, register counts, windows of WORDS, quotients) and the entities. counted: as in report_panel."""
     base, entities = register_panel(spark, sf, every)
-    words = panel.dense(report_panel(spark, sf, entities, every), entities, FIRST, LAST, WORDS, 0)
+    words = panel.dense(report_panel(spark, sf, entities, every, counted), entities, FIRST, LAST, WORDS, 0)
     scoped = panel.own_out_all(words, WORDS)
     measures = column_names([WORDS, ["", "out", "all"]])
     rolled = panel.lagged(scoped, measures, WINDOWS, lag)

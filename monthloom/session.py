@@ -6,6 +6,9 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +64,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """df as compressed columns in the shared folder, for tables of which each reader needs some columns; removed at the end, so what is made of it must be settled by then."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4()}"
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _is_small(df: DataFrame, limit: int) -> bool:
     """Whether df has at most limit rows, of at most BROADCAST_BYTES together; what is measured stops at the limit."""
     size = F.lit(16 * len(df.columns))

@@ -3,11 +3,13 @@
 import os
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from monthloom.plans import panels, whole, wide
-from monthloom.operators import panel
+from monthloom.operators import embedding, panel
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -61,3 +63,37 @@ def test_every_readable_date_counts(spark, tmp_path):
         row = base.filter(f"month_idx = {m}").first()
         assert tuple(row)[2:] == want
         assert [(x.month_idx, x.n_reports, x.n_words) for x in wide.report_panel(spark, str(tmp_path), top, every).collect()] == [(m, reports, 2 * reports)]
+
+
+def test_arrays_give_what_the_windows_do(spark):
+    values = [[3, 0, 1, 7, 0, 0, 2, 5, 1, 0, 4, 9, 6, 1, 128], [1, 0, 3, 128, 0, 0, 64, 5, 1, 0, 4, 7, 6, 1, 3]]
+    rows = [("a", m, *x) for m, x in enumerate(zip(*values))]
+    for lag in (0, 1, 2):
+        df = panel.ratios(panel.lagged(spark.createDataFrame(rows, "entity string, month_idx int, a long, b long"), ["a", "b"], [1, 3, 12], lag), {f"q{n}": (f"a_{n}m", f"b_{n}m") for n in (1, 3, 12)})
+        want = [r.asDict() for r in df.orderBy("month_idx").collect()]
+        for n, (sums, ok) in zip((1, 3, 12), panel.lagged_arrays(np.array(values), [1, 3, 12], lag)):
+            q, there = panel.rounded_ratios(sums[0], sums[1])
+            for i, r in enumerate(want):
+                assert [r[f"a_{n}m"], r[f"b_{n}m"]] == ([*sums[:, i]] if ok[i] else [None, None])
+                assert r[f"q{n}"] == (q[i] if ok[i] and there[i] else None)
+
+
+def test_quotients_are_rounded_as_spark_does(spark):
+    pairs = [(a, b) for b in (0, 1, 3, 7, 64, 128, 640, 1920, 3200000, 999983) for a in (0, 1, 3, 5, 77, 129, 1285, 20001, 123457)]
+    df = panel.ratios(spark.createDataFrame(pairs, "a long, b long"), {"q": ("a", "b")})
+    q, ok = panel.rounded_ratios(*np.array(pairs).T)
+    assert [r.q for r in df.collect()] == [x if t else None for x, t in zip(q.tolist(), ok)]
+
+
+def test_repeated_texts_are_named_once(spark):
+    rows = [(1, "x y", "a"), (2, "x y", None), (3, "z", "a"), (4, " \t", "b"), (5, None, "a"), (6, "x y", "c")]
+    again, different = embedding.repeats(spark.createDataFrame(rows, "k long, s string, t string"), "k", {"s": F.col("s"), "t": F.col("t")})
+    assert sorted(map(tuple, again.collect())) == [("s", 2), ("s", 6), ("t", 3), ("t", 5)] and different == {"s": 2, "t": 3}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+def test_no_plan_joins_the_wide_columns(spark):
+    plan = entry.entry(spark)._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("FlatMapGroupsInArrow") == 1
+    left = os.path.join(spark.sparkContext.getCheckpointDir().removeprefix("file:"), "..")
+    assert not [f for d, _, fs in os.walk(left) for f in fs if f.endswith(".zstd.parquet")]  # stored texts are removed
